@@ -48,13 +48,13 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def text_batches(batches, column: str = "text"):
+def text_batches(batches, column: str = "text", limit: int = CHUNK_BYTES):
     """(rows of the batch as RecordBatch, bytes, offsets) in chunks of bounded size."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offs = bytes_of(batch.column(column))
-        for lo, hi in chunks(np.diff(offs)):
+        for lo, hi in chunks(np.diff(offs), limit):
             yield batch.slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
 
 

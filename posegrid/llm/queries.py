@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import lang_id, ppm, quality, secrets
 from .byte_bpe import encode
-from .common import table
+from .caps import near_vectors
+from .common import split_of, table
+from .neighbours import nearest
 from .packing import pack
+from .simhash import near_duplicates
 from .url_filter import url_filter
 
 #: Host, path and verdict of the url rules.
@@ -20,19 +25,53 @@ URL_RULES = [
 ]
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs, split_of("id", 4) != 2)
+    return lang_id.predict(docs, model).select("doc_id", (split_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score(table(spark, sf_dir, "documents"), split_of("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (split_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 URL_SQL = """
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 cut AS (
@@ -51,5 +90,5 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM parts LEFT JOIN best USING (rid)
 """.format(rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_byte_bpe, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_lang_id, op2_neighbours, op3_packing, op4_ppm, op5_simhash, op6_byte_bpe, op7_quality, op8_caps, op9_url_filter, op10_secrets)}
 ORACLE_SQL = {"op9_url_filter": URL_SQL}
