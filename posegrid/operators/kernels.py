@@ -1,0 +1,388 @@
+"""Numpy kernels for one bounded group (a scene, an instance, a frame). No driver state; seeds are explicit."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+
+def assign(score: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs of greatest total score; only positive scores pair, every row may stay alone.
+
+    Shortest augmenting paths on the costs, with one private column of cost zero for each row.
+    """
+    n, m = score.shape
+    if not n:
+        return []
+    cost = np.zeros((n, m + n))
+    cost[:, :m] = np.where(score > 0, -score, 1.0)
+    cost[:, m:] = np.where(np.eye(n, dtype=bool), 0.0, 1e9)
+    owner = np.full(m + n, -1)
+    u, v = np.zeros(n), np.zeros(m + n)
+    for row in range(n):
+        least, came, done = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
+        at, col = row, -1
+        while True:
+            step = cost[at] - u[at] - v
+            better = ~done & (step < least)
+            least[better], came[better] = step[better], col
+            open_ = np.where(done, np.inf, least)
+            col = int(open_.argmin())
+            delta = least[col]
+            used = np.flatnonzero(done)
+            u[row] += delta
+            u[owner[used]] += delta
+            v[used] -= delta
+            least[~done] -= delta
+            done[col] = True
+            if owner[col] < 0:
+                break
+            at = owner[col]
+        while col >= 0:
+            back = came[col]
+            owner[col] = row if back < 0 else owner[back]
+            col = back
+    return sorted((int(owner[c]), c) for c in range(m) if owner[c] >= 0 and score[owner[c], c] > 0)
+
+
+def match_valid_first(value: np.ndarray, threshold: float, strict: bool = False) -> list[tuple[int, int]]:
+    """As many pairs at or above the threshold as possible, of these the greatest total value."""
+    ok = value > threshold if strict else value >= threshold
+    return assign(np.where(ok, 1 + value / (min(value.shape or (0,)) + 1 or 1), -1.0))
+
+
+def greedy(score: np.ndarray) -> list[tuple[int, int]]:
+    """Row by row, the best positive column that is still free."""
+    free, out = set(range(score.shape[1])), []
+    for r in range(score.shape[0]):
+        best = max(free, key=lambda c: (score[r, c], -c), default=None)
+        if best is not None and score[r, best] > 0:
+            free.discard(best)
+            out.append((r, best))
+    return out
+
+
+def suppress(iou: np.ndarray, order: np.ndarray, threshold: float) -> np.ndarray:
+    """Greedy non-maximum suppression: for each item the kept item that absorbs it, or itself."""
+    keeper = np.full(len(order), -1)
+    for i in order:
+        if keeper[i] < 0:
+            keeper[i] = i
+            keeper[(keeper < 0) & (iou[i] >= threshold)] = i
+    return keeper
+
+
+def average_precision(confidence: np.ndarray, iou: np.ndarray, threshold: float) -> tuple[float | None, np.ndarray]:
+    """Ranked by (-confidence, index), each prediction takes the best free truth; area under the precision envelope.
+
+    Returns the area (None without truths) and the truth of each prediction, or -1.
+    """
+    n, m = iou.shape
+    taken, free = np.full(n, -1), np.ones(m, bool)
+    order = np.lexsort((np.arange(n), -confidence))
+    hits = np.zeros(n)
+    for place, p in enumerate(order):
+        if m and free.any():
+            c = int(np.where(free, iou[p], -1).argmax())
+            if iou[p, c] >= threshold:
+                free[c], taken[p], hits[place] = False, c, 1
+    if not m:
+        return None, taken
+    good = np.cumsum(hits)
+    precision = good / np.arange(1, n + 1) if n else np.zeros(0)
+    envelope = np.maximum.accumulate(precision[::-1])[::-1]
+    return float((hits / m * envelope).sum()), taken
+
+
+def _grid(points: np.ndarray, size: float) -> dict:
+    cells: dict = {}
+    for i, key in enumerate(map(tuple, np.floor(points / size).astype(np.int64))):
+        cells.setdefault(key, []).append(i)
+    return {k: np.array(v) for k, v in cells.items()}
+
+
+_AROUND = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+
+
+def within(points: np.ndarray, radius: float) -> list[np.ndarray]:
+    """Neighbours of every point at distance <= radius, itself included, by a grid."""
+    cells, out = _grid(points, radius), [None] * len(points)
+    for key, own in cells.items():
+        near = np.concatenate([cells[k] for d in _AROUND if (k := (key[0] + d[0], key[1] + d[1], key[2] + d[2])) in cells])
+        d2 = ((points[own][:, None] - points[near][None]) ** 2).sum(axis=2)
+        for row, i in enumerate(own):
+            out[i] = np.sort(near[d2[row] <= radius * radius])
+    return out
+
+
+def dbscan(points: np.ndarray, radius: float, least: int) -> np.ndarray:
+    """Cluster of each point in order of discovery, -1 for noise."""
+    near = within(points, radius) if len(points) else []
+    label, current = np.full(len(points), -1), -1
+    core = np.array([len(n) >= least for n in near], bool)
+    for i in range(len(points)):
+        if label[i] >= 0 or not core[i]:
+            continue
+        current += 1
+        label[i], stack = current, [i]
+        while stack:
+            for j in near[stack.pop()]:
+                if label[j] < 0:
+                    label[j] = current
+                    if core[j]:
+                        stack.append(j)
+    return label
+
+
+def largest(label: np.ndarray) -> np.ndarray:
+    """Mask of the largest cluster, the first of equals."""
+    found = label[label >= 0]
+    return label == np.bincount(found).argmax() if len(found) else np.zeros(len(label), bool)
+
+
+def euclidean_clusters(points: np.ndarray, tolerance: float, least: int = 1) -> np.ndarray:
+    label = dbscan(points, tolerance, 1)
+    sizes = np.bincount(label, minlength=1) if len(label) else np.zeros(1, int)
+    return np.where(sizes[label] >= least, label, -1) if len(label) else label
+
+
+def mean_neighbour_distance(points: np.ndarray, k: int) -> np.ndarray:
+    """Mean distance to the k nearest other points (fewer, if there are no more)."""
+    out = np.zeros(len(points))
+    for lo in range(0, len(points), 512):
+        d = np.sqrt(((points[lo : lo + 512, None] - points[None]) ** 2).sum(axis=2))
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+        k_ = min(k, len(points) - 1)
+        if k_:
+            out[lo : lo + 512] = np.partition(d, k_ - 1, axis=1)[:, :k_].mean(axis=1)
+    return out
+
+
+def statistical_inliers(points: np.ndarray, k: int, ratio: float) -> np.ndarray:
+    d = mean_neighbour_distance(points, k)
+    return d <= d.mean() + ratio * (d.std(ddof=1) if len(d) > 1 else 0.0) if len(d) else np.zeros(0, bool)
+
+
+def principal_box(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, axes (columns, right-handed, by falling variance) and sizes of the box along the principal axes."""
+    c = np.cov(points.T) if len(points) > 1 else np.zeros((3, 3))
+    axes = np.linalg.eigh(c)[1][:, ::-1]
+    for i in range(3):
+        axes[:, i] *= np.sign(axes[np.abs(axes[:, i]).argmax(), i]) or 1
+    if np.linalg.det(axes) < 0:
+        axes[:, 2] *= -1
+    q = points @ axes
+    lo, hi = q.min(axis=0), q.max(axis=0)
+    return axes @ ((lo + hi) / 2), axes, hi - lo
+
+
+def hull(xy: np.ndarray) -> np.ndarray:
+    """Convex hull, counter-clockwise."""
+    pts = sorted(set(map(tuple, xy.tolist())))
+    if len(pts) < 3:
+        return np.array(pts, float).reshape(-1, 2)
+
+    def chain(seq):
+        out: list = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(pts) + chain(pts[::-1]))
+
+
+def upright_box(points: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Centre, yaw in [0, pi/2) and sizes of the upright box of least floor area; the first of equal edges."""
+    h = hull(points[:, :2])
+    edges = np.diff(np.vstack([h, h[:1]]), axis=0) if len(h) > 1 else np.zeros((0, 2))
+    angles = sorted({round(a % (math.pi / 2), 12) for a in np.arctan2(edges[:, 1], edges[:, 0])}) or [0.0]
+    best = None
+    for a in angles:
+        r = np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]])
+        q = h @ r.T
+        lo, hi = q.min(axis=0), q.max(axis=0)
+        area = float(np.prod(hi - lo))
+        if best is None or area < best[0] - 1e-12:
+            best = (area, a, r.T @ ((lo + hi) / 2), hi - lo)
+    _, yaw, centre, size = best
+    z0, z1 = points[:, 2].min(), points[:, 2].max()
+    return np.append(centre, (z0 + z1) / 2), yaw, np.append(size, z1 - z0)
+
+
+def fit_plane(points: np.ndarray, tolerance: float, rounds: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Normal, offset and inliers of the plane with most points within the tolerance, refined on them."""
+    rng, best = np.random.default_rng(seed), np.zeros(len(points), bool)
+    normal, offset = np.array([0.0, 0, 1]), 0.0
+    for _ in range(rounds if len(points) >= 3 else 0):
+        a, b, c = points[rng.choice(len(points), 3, replace=False)]
+        n = np.cross(b - a, c - a)
+        size = np.linalg.norm(n)
+        if size < 1e-12:
+            continue
+        inl = np.abs((points - a) @ (n / size)) <= tolerance
+        if inl.sum() > best.sum():
+            best = inl
+    if best.sum() >= 3:
+        centre = points[best].mean(axis=0)
+        normal = np.linalg.svd(points[best] - centre, full_matrices=False)[2][2]
+        normal = normal * (np.sign(normal[np.abs(normal).argmax()]) or 1)
+        offset = float(centre @ normal)
+        best = np.abs(points @ normal - offset) <= tolerance
+    return normal, offset, best
+
+
+def peel_planes(points: np.ndarray, tolerance: float, least: int, most: int, rounds: int = 200, seed: int = 0) -> np.ndarray:
+    """Plane of each point, found one after the other, or -1."""
+    label, left = np.full(len(points), -1), np.arange(len(points))
+    for k in range(most):
+        if len(left) < max(3, least):
+            break
+        inl = fit_plane(points[left], tolerance, rounds, seed + k)[2]
+        if inl.sum() < least:
+            break
+        label[left[inl]] = k
+        left = left[~inl]
+    return label
+
+
+def fit_circle(xy: np.ndarray, tolerance: float, rounds: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Centre, radius, inliers; least squares on the inliers of the best three-point circle."""
+    rng, best = np.random.default_rng(seed), np.zeros(len(xy), bool)
+
+    def solve(p):
+        a = np.column_stack([2 * p, np.ones(len(p))])
+        x, *_ = np.linalg.lstsq(a, (p**2).sum(axis=1), rcond=None)
+        return x[:2], math.sqrt(max(0.0, x[2] + x[0] ** 2 + x[1] ** 2))
+
+    centre, radius = np.zeros(2), 0.0
+    for _ in range(rounds if len(xy) >= 3 else 0):
+        c, r = solve(xy[rng.choice(len(xy), 3, replace=False)])
+        inl = np.abs(np.linalg.norm(xy - c, axis=1) - r) <= tolerance
+        if inl.sum() > best.sum():
+            best = inl
+    if best.sum() >= 3:
+        centre, radius = solve(xy[best])
+    return centre, radius, best
+
+
+def rigid(a: np.ndarray, b: np.ndarray, scaled: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rotation, translation and scale that bring a onto b in least squares."""
+    ca, cb = a.mean(axis=0), b.mean(axis=0)
+    u, s, vt = np.linalg.svd((a - ca).T @ (b - cb))
+    flip = np.array([1, 1, np.sign(np.linalg.det(u @ vt)) or 1])
+    r = vt.T @ np.diag(flip) @ u.T
+    scale = float((s * flip).sum() / max(((a - ca) ** 2).sum(), 1e-12)) if scaled else 1.0
+    return r, cb - scale * r @ ca, scale
+
+
+def rigid_ransac(a: np.ndarray, b: np.ndarray, tolerance: float, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotation, translation and inliers over correspondences, refined on the inliers of the best triple."""
+    rng, best = np.random.default_rng(seed), np.zeros(len(a), bool)
+    for _ in range(rounds if len(a) >= 3 else 0):
+        k = rng.choice(len(a), 3, replace=False)
+        r, t, _ = rigid(a[k], b[k])
+        inl = np.linalg.norm(a @ r.T + t - b, axis=1) <= tolerance
+        if inl.sum() > best.sum():
+            best = inl
+    if best.sum() < 3:
+        return np.eye(3), np.zeros(3), best
+    r, t, _ = rigid(a[best], b[best])
+    return r, t, np.linalg.norm(a @ r.T + t - b, axis=1) <= tolerance
+
+
+def nearest_index(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index in b and distance of the nearest point of each a."""
+    at, d = np.zeros(len(a), np.int64), np.zeros(len(a))
+    for lo in range(0, len(a), 512):
+        d2 = ((a[lo : lo + 512, None] - b[None]) ** 2).sum(axis=2)
+        at[lo : lo + 512] = d2.argmin(axis=1)
+        d[lo : lo + 512] = np.sqrt(d2.min(axis=1))
+    return at, d
+
+
+def icp(a: np.ndarray, b: np.ndarray, rounds: int = 30, keep: float = 0.8, scale: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Trimmed iterative closest points; with `scale`, a similarity whose scale is clipped to that range."""
+    r, t, s = np.eye(3), np.zeros(3), 1.0
+    for _ in range(rounds):
+        at, d = nearest_index(s * a @ r.T + t, b)
+        near = d <= np.quantile(d, keep)
+        r2, t2, s2 = rigid(a[near], b[at[near]], scale is not None)
+        if scale is not None and not scale[0] <= s2 <= scale[1]:
+            s2 = min(max(s2, scale[0]), scale[1])
+            t2 = b[at[near]].mean(axis=0) - s2 * r2 @ a[near].mean(axis=0)
+        if np.allclose(r, r2, atol=1e-10) and np.allclose(t, t2, atol=1e-10) and abs(s - s2) < 1e-10:
+            break
+        r, t, s = r2, t2, s2
+    return r, t, s
+
+
+def farthest_first(points: np.ndarray, count: int) -> list[int]:
+    """Farthest-point sampling from row 0; the first of equals."""
+    out, far = [0] if len(points) else [], np.full(len(points), np.inf)
+    while len(out) < min(count, len(points)):
+        far = np.minimum(far, ((points - points[out[-1]]) ** 2).sum(axis=1))
+        out.append(int(far.argmax()))
+    return out
+
+
+def separated(order: np.ndarray, positions: np.ndarray, gap: float, most: int) -> list[int]:
+    """In the given order, items at least `gap` from all taken before, at most `most`."""
+    out: list[int] = []
+    for i in order:
+        if len(out) < most and all(np.linalg.norm(positions[i] - positions[j]) >= gap for j in out):
+            out.append(int(i))
+    return out
+
+
+#: Fixed value: the 0.997 quantile of chi-square with three degrees of freedom.
+CHI3_997 = 13.931
+
+
+def mahalanobis(points: np.ndarray) -> np.ndarray:
+    """Squared distance of each row by the sample covariance; zero where it is singular."""
+    c = np.cov(points.T) if len(points) > points.shape[1] else np.zeros((points.shape[1],) * 2)
+    if np.linalg.matrix_rank(c) < len(c):
+        return np.zeros(len(points))
+    d = points - points.mean(axis=0)
+    return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)
+
+
+def least_determinant(points: np.ndarray, share: float = 0.75, starts: int = 20, steps: int = 10, seed: int = 0) -> np.ndarray:
+    """Squared distances by the covariance of least determinant found by concentration steps."""
+    n, d = points.shape
+    h = max(d + 1, int(n * share))
+    if n <= d + 1:
+        return np.zeros(n)
+    rng, best = np.random.default_rng(seed), (np.inf, None)
+    for _ in range(starts):
+        own = rng.choice(n, d + 1, replace=False)
+        for _ in range(steps):
+            c = np.cov(points[own].T) + 1e-12 * np.eye(d)
+            q = points - points[own].mean(axis=0)
+            dist = np.einsum("ij,jk,ik->i", q, np.linalg.inv(c), q)
+            new = np.argsort(dist, kind="stable")[:h]
+            if len(new) == len(own) and (np.sort(new) == np.sort(own)).all():
+                break
+            own = new
+        det = np.linalg.det(np.cov(points[own].T))
+        if det < best[0]:
+            best = (det, dist)
+    return best[1]
+
+
+def constrained_groups(n: int, pairs: list[tuple[float, int, int]], apart: set[tuple[int, int]]) -> np.ndarray:
+    """Strongest pairs first, groups merge unless two of their members must stay apart; least member of each group."""
+    group = {i: {i} for i in range(n)}
+    at = list(range(n))
+    for _, a, b in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        x, y = at[a], at[b]
+        if x == y or any((min(i, j), max(i, j)) in apart for i in group[x] for j in group[y]):
+            continue
+        low, high = min(x, y), max(x, y)
+        for i in group.pop(high):
+            at[i] = low
+            group[low].add(i)
+    return np.array(at)
