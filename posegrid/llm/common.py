@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -97,3 +98,9 @@ def written(df: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for file scans it follows the files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def reads_files(df: DataFrame) -> bool:
+    """Whether df is a plain scan of files with projections and filters, whose partitions are the same in every run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "FileScan" in plan and not re.search(r"Exchange|Join|Aggregate|Union|Python|Pandas|Arrow|InMemory|ExistingRDD|Sample|Window", re.sub(r"FileScan.*", "FileScan", plan))

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import from_bytes, matrix, takes_part, to_bytes, width_of
 
-TABLES = 20
-PROBES = 4
+#: Reach a recall of 0.95 at k = 20 on unit vectors without structure; clustered ones need less.
+TABLES = 24
+PROBES = 5
 CHUNK = 20_000
 ROUNDS = 3
 BLOCK = 2048

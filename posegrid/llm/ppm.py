@@ -1,14 +1,14 @@
 """Code lengths by prediction by partial matching, with a word unigram baseline.
 
 The model is a trie of byte contexts up to ORDER bytes, counted over all training documents. A symbol that a context
-knows has probability count / (total + distinct); the mass distinct / (total + distinct) escapes to the context without
+knows has probability (count - 1/2) / total; the mass distinct / (2 total) escapes to the context without
 its first byte, whose probabilities are divided among the symbols that the longer context does not know (symbol
 exclusion by renormalisation). Below the empty context all 256 bytes are equally likely. 0xFF, which no UTF-8 text holds,
 stands before a text as often as a context is long and ends it; the end is a symbol like the others. Texts are lower-cased in A-Z.
 
 Neither the trie nor the vocabulary is broadcast. Documents are dealt into blocks; a first pass over each block counts its
 words and contexts; the counts are added up over all blocks; each block gets back the rows of the words and contexts that occur in it, and
-scores its documents with them. Everything grows with the input and is bounded by a block's size in each task.
+scores its documents with them. A block is a partition of the file scan. Everything grows with the input and is bounded by a block's size in each task.
 
 Defined results: null text is empty: one end token, and one end symbol after the start context; texts are read whole;
 repeated rows are each counted and scored; a null id's remainder is that of the empty text; without training documents all counts are zero (base
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, written
+from .common import bytes_of, chunks, reads_files, written
 
-ORDER = 4
+ORDER = 5
 EDGE = 0xFF
 #: Stands for the end token; words hold no white space.
 END_WORD = b" "
@@ -65,7 +65,7 @@ class Level:
         self.context = ctx[self.starts]
         self.distinct = np.diff(np.append(self.starts, len(ctx))).astype(float)
         self.total = np.add.reduceat(self.count, self.starts) if len(ctx) else np.zeros(0)
-        self.known = self.count / np.repeat(self.total + self.distinct, self.distinct.astype(int))
+        self.known = (self.count - 0.5) / np.repeat(self.total, self.distinct.astype(int))
         self.left = np.ones(len(self.context))  # mass of the shorter context that isn't excluded
 
     def exclude(self, shorter: Level | None, length: int) -> None:
@@ -103,7 +103,7 @@ class Trie:
             own = seq & ((1 << (8 * (k + 1))) - 1)
             c, there = found(level.context, own >> 8)
             e, known = found(level.seq, own)
-            escape = level.distinct[c] / (level.total[c] + level.distinct[c]) / level.left[c]
+            escape = 0.5 * level.distinct[c] / level.total[c] / level.left[c]
             p = np.where(known, level.known[e], np.where(there, p * escape, p))
         return p
 
@@ -138,8 +138,11 @@ def _summed(codes: list) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"), F.spark_partition_id().alias("block"))
-    texts = written(texts)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"))
+    if not reads_files(texts):
+        texts = written(texts)
+    # A scan deals its files the same way each time, so a partition's number names its rows in both passes.
+    texts = texts.withColumn("block", F.spark_partition_id())
 
     def count(batches):
         held: dict[int, tuple] = {}

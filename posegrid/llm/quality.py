@@ -2,8 +2,8 @@
 
 Every line is labelled good or bad. Its features are shares of character classes, word length, immediate word
 repetition and length, of the line and of its two neighbours. The field is fitted on at most PER_LABEL documents of
-each label, whose lines take the document's label, weighted back to the labels' true shares. A document's score is the mean of
-its lines' forward-backward marginals of `good`, weighted by line length.
+each label, whose lines take the document's label, weighted back to the labels' true shares. A document's raw score is the mean of
+its lines' forward-backward marginals of `good`, weighted by line length; a fifth of the sample, kept from the field, calibrates it.
 
 Defined results: a null or empty text is one empty line and is scored like any other; without labelled rows, or with
 one label only, every score is that label's share (1 without rows). Texts are read whole; repeated rows are each scored;
@@ -137,6 +137,8 @@ class Model:
     theta: np.ndarray
     switch: np.ndarray
     share: float | None = None  # of label 1, where there is nothing to tell apart
+    slope: float = 1.0
+    shift: float = 0.0
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         if self.share is not None:
@@ -145,7 +147,34 @@ class Model:
         good, _ = marginals(x @ self.theta, counts, self.switch)
         weight = sizes + 1.0
         first = np.cumsum(counts) - counts
-        return np.clip(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), 0, 1)
+        return self.calibrated(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first))
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * log_odds(raw) + self.shift)))
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def calibrate(model: Model, x: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
+    """Logistic fit of the labels on the raw scores' log-odds, by Newton steps with a small ridge; the slope stays positive."""
+    counts = np.array([len(r) for r in x])
+    good, _ = marginals(np.vstack(x) @ model.theta, counts, model.switch)
+    lengths = np.expm1(np.vstack(x)[:, 1] * 5) + 1
+    first = np.cumsum(counts) - counts
+    raw = np.add.reduceat(good * lengths, first) / np.add.reduceat(lengths, first)
+    a = np.column_stack([log_odds(raw), np.ones(len(raw))])
+    w, ridge = np.array([1.0, 0.0]), np.diag([1e-3, 1e-4]) * weight.sum()
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (y - p)) - ridge @ (w - [1.0, 0.0]))
+        w = w + step
+        w[0] = max(w[0], 0.05)
+        if np.abs(step).max() < 1e-9:
+            break
+    model.slope, model.shift = float(w[0]), float(w[1])
 
 
 def fit_field(x: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
@@ -192,7 +221,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["label"] for r in rows])
     drawn = np.bincount(y, minlength=2)
     weight = np.array([counts.get(k, 0) / drawn[k] for k in (0, 1)])[y]
-    return fit_field(np.vstack(x).astype(float), np.array([len(r) for r in x]), y, weight)
+    x = [r.astype(float) for r in x]
+    last = np.arange(len(x)) % 5 == 0
+    if len(set(y[last])) < 2 or len(set(y[~last])) < 2:  # too few to keep any apart
+        return fit_field(np.vstack(x), np.array([len(r) for r in x]), y, weight)
+    kept = [r for r, own in zip(x, ~last, strict=True) if own]
+    model = fit_field(np.vstack(kept), np.array([len(r) for r in kept]), y[~last], weight[~last])
+    calibrate(model, [r for r, own in zip(x, last, strict=True) if own], y[last], weight[last])
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
