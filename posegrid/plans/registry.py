@@ -17,8 +17,8 @@ VIEWS = {
     "masks": "SELECT DISTINCT l_suppkey AS mask_id, l_partkey AS point_id FROM lineitem",
     "obs": """SELECT event_id, user_id AS scene, CAST(ts AS DATE) AS frame, event_type AS label, value AS conf,
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts FROM events""",
-    "boxes": """SELECT p_partkey AS id, p_brand AS brand, p_size AS size, p_retailprice AS conf, (p_partkey % 41) * 0.25 AS lox, (p_partkey % 37) * 0.25 AS loy, (p_partkey % 29) * 0.25 AS loz,
-        (p_partkey % 41) * 0.25 + p_size * 0.0625 AS hix, (p_partkey % 37) * 0.25 + (p_size % 13 + 1) * 0.125 AS hiy, (p_partkey % 29) * 0.25 + (p_size % 7 + 1) * 0.25 AS hiz FROM part""",
+    "boxes": """SELECT p_partkey AS id, p_brand AS brand, p_size AS size, p_retailprice AS conf, (p_partkey % 41) * 0.25::DOUBLE AS lox, (p_partkey % 37) * 0.25::DOUBLE AS loy, (p_partkey % 29) * 0.25::DOUBLE AS loz,
+        (p_partkey % 41) * 0.25::DOUBLE + p_size * 0.0625::DOUBLE AS hix, (p_partkey % 37) * 0.25::DOUBLE + (p_size % 13 + 1) * 0.125::DOUBLE AS hiy, (p_partkey % 29) * 0.25::DOUBLE + (p_size % 7 + 1) * 0.25::DOUBLE AS hiz FROM part""",
 }
 
 
