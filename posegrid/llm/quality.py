@@ -150,7 +150,7 @@ class Model:
         return self.calibrated(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first))
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * log_odds(raw) + self.shift)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * log_odds(raw) + self.shift, -700, 700)))
 
 
 def log_odds(p: np.ndarray) -> np.ndarray:
@@ -159,17 +159,18 @@ def log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def calibrate(model: Model, x: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
-    """Logistic fit of the labels on the raw scores' log-odds, by Newton steps with a small ridge; the slope stays positive."""
+    """Logistic fit of the labels on the raw scores' log-odds, by damped Newton steps with a ridge; the slope stays positive."""
     counts = np.array([len(r) for r in x])
     good, _ = marginals(np.vstack(x) @ model.theta, counts, model.switch)
     lengths = np.expm1(np.vstack(x)[:, 1] * 5) + 1
     first = np.cumsum(counts) - counts
     raw = np.add.reduceat(good * lengths, first) / np.add.reduceat(lengths, first)
     a = np.column_stack([log_odds(raw), np.ones(len(raw))])
-    w, ridge = np.array([1.0, 0.0]), np.diag([1e-3, 1e-4]) * weight.sum()
-    for _ in range(40):
+    w, ridge = np.array([1.0, 0.0]), np.diag([1e-2, 1e-3]) * weight.sum()
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
         step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (y - p)) - ridge @ (w - [1.0, 0.0]))
+        step /= max(1.0, np.abs(step).max() / 0.2)
         w = w + step
         w[0] = max(w[0], 0.05)
         if np.abs(step).max() < 1e-9:
