@@ -169,7 +169,7 @@ class Encoder:
         at = np.fromiter(map(self.cache.__getitem__, keys), np.int64, len(keys))
         ids, sizes = self.rows.gather(at)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        cuts = ends[np.concatenate(([0], np.cumsum(counts)))]
+        cuts = ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
         return ids, np.diff(cuts)
 
 
