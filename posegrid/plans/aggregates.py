@@ -216,10 +216,10 @@ def surface_diagnostics(spark, d):
     return p.crossJoin(F.broadcast(t))  # one row each
 
 
-@query("a30_union_boxes", "SELECT brand AS g, min(lox) AS lox, min(loy) AS loy, min(loz) AS loz, max(hix) AS hix, max(hiy) AS hiy, max(hiz) AS hiz, min(conf) AS conf, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM boxes WHERE id % 5 = 0 GROUP BY 1", "boxes")
+@query("a30_union_boxes", "SELECT brand AS g, min(lox) AS lox, min(loy) AS loy, min(loz) AS loz, max(hix) AS hix, max(hiy) AS hiy, max(hiz) AS hiz, min(conf) AS conf, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM boxes GROUP BY 1", "boxes")
 def union_boxes(spark, d):
     members = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")
-    return boxes(spark, d).where("id % 5 = 0").groupBy(F.col("brand").alias("g")).agg(*[F.min(f"lo{a}").alias(f"lo{a}") for a in "xyz"], *[F.max(f"hi{a}").alias(f"hi{a}") for a in "xyz"], F.min("conf").alias("conf"), members.alias("members"))
+    return boxes(spark, d).groupBy(F.col("brand").alias("g")).agg(*[F.min(f"lo{a}").alias(f"lo{a}") for a in "xyz"], *[F.max(f"hi{a}").alias(f"hi{a}") for a in "xyz"], F.min("conf").alias("conf"), members.alias("members"))
 
 
 @query("a31_fragment_union_iou", """

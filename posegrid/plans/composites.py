@@ -155,11 +155,11 @@ def atomic_partition(spark, d):
 
 
 @query("c25_containment_split", """
-WITH inside AS (SELECT DISTINCT point_id FROM masks WHERE mask_id = 3) SELECT mask_id, point_id, point_id IN (SELECT point_id FROM inside) AS core FROM masks WHERE mask_id % 10 = 0""", "masks")
+WITH inside AS (SELECT DISTINCT point_id FROM masks WHERE mask_id = 3) SELECT mask_id, point_id, point_id IN (SELECT point_id FROM inside) AS core FROM masks WHERE mask_id <> 3""", "masks")
 def containment_split(spark, d):
     m = masks(spark, d)
     inside = m.where("mask_id = 3").select("point_id", F.lit(True).alias("core")).distinct()
-    return m.where("mask_id % 10 = 0").join(inside, "point_id", "left").select("mask_id", "point_id", F.coalesce("core", F.lit(False)).alias("core"))
+    return m.where("mask_id <> 3").join(inside, "point_id", "left").select("mask_id", "point_id", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 @query("c26_cannot_link", """
@@ -184,11 +184,11 @@ def positive_owner(spark, d):
 
 
 @query("c28_nested_subtraction", """
-WITH m AS (SELECT * FROM masks WHERE mask_id <= 40 AND point_id % 5 = 0), s AS (SELECT mask_id, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.mask_id AS big, b.mask_id AS small, count(*) AS k FROM m a JOIN m b ON a.point_id = b.point_id AND a.mask_id <> b.mask_id GROUP BY 1, 2),
+WITH m AS (SELECT * FROM masks), s AS (SELECT mask_id, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.mask_id AS big, b.mask_id AS small, count(*) AS k FROM m a JOIN m b ON a.point_id = b.point_id AND a.mask_id <> b.mask_id GROUP BY 1, 2),
 nest AS (SELECT big, small FROM o JOIN s p ON p.mask_id = big JOIN s q ON q.mask_id = small WHERE k >= 0.3 * q.n AND p.n >= 1.02 * q.n)
 SELECT m.mask_id AS mask_id, count(*) AS kept FROM m WHERE NOT EXISTS (SELECT 1 FROM nest JOIN m i ON i.mask_id = nest.small WHERE nest.big = m.mask_id AND i.point_id = m.point_id) GROUP BY 1""", "masks")
 def nested_subtraction(spark, d):
-    m = masks(spark, d).where("mask_id <= 40 AND point_id % 5 = 0")
+    m = masks(spark, d)
     o = M.overlaps(m)
     both = o.select("a", "b", "both", "size_a", "size_b").unionByName(o.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b")))
     nest = both.where("both >= 0.3 * size_b AND size_a >= 1.02 * size_b").select(F.col("a").alias("mask_id"), F.col("b").alias("small"))
@@ -305,8 +305,8 @@ def duplicate_absorption(spark, d):
 
 
 @query("y09_dense_recovery", """
-WITH p AS (SELECT * FROM pts WHERE g < 5), c AS (SELECT floor(x / 0.1)::BIGINT AS i, floor(y / 0.1)::BIGINT AS j, count(DISTINCT g) AS views FROM p GROUP BY 1, 2) SELECT id FROM p JOIN c ON floor(x / 0.1)::BIGINT = i AND floor(y / 0.1)::BIGINT = j WHERE views >= 3""", "pts")
+WITH p AS (SELECT * FROM pts), c AS (SELECT floor(x / 0.1)::BIGINT AS i, floor(y / 0.1)::BIGINT AS j, count(DISTINCT g) AS views FROM p GROUP BY 1, 2) SELECT id FROM p JOIN c ON floor(x / 0.1)::BIGINT = i AND floor(y / 0.1)::BIGINT = j WHERE views >= 3""", "pts")
 def dense_recovery(spark, d):
-    p = pts(spark, d).where("g < 5").withColumns({"i": S.cell(F.col("x"), 0.1), "j": S.cell(F.col("y"), 0.1)})
+    p = pts(spark, d).withColumns({"i": S.cell(F.col("x"), 0.1), "j": S.cell(F.col("y"), 0.1)})
     c = p.groupBy("i", "j").agg(F.countDistinct("g").alias("views")).where("views >= 3")
     return p.join(c, ["i", "j"], "left_semi").select("id")

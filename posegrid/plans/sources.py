@@ -81,7 +81,7 @@ def topology_roundtrip(spark, d):
 @query("s17_topology_nodes", N1 + "SELECT g::VARCHAR AS id, 'object ' || g AS name, round(cx, 6) AS x FROM nodes", "pts")
 def topology_nodes(spark, d):
     n = nodes(spark, d).select(F.lit("s").alias("scene"), F.col("g").cast("string").alias("id"), F.concat(F.lit("object "), "g").alias("name"), F.array("x", "y", "z").alias("position"))
-    e = n.limit(0).select("scene", F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit(0.0).alias("distance"))
+    e = n.where("false").select("scene", F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit(0.0).alias("distance"))
     loaded = topology.parsed(topology.published(n, e))
     return topology.nodes(loaded).select("id", "name", r6(F.col("position")[0]).alias("x"))
 
