@@ -24,6 +24,8 @@ def resolve(aliases: DataFrame, source: str = "source", target: str = "target")
         step = at.join(on, (F.col("target") == F.col("s2")) & (F.col("source") != F.col("target")), "left")
         step = settled(step.select("source", F.coalesce("t2", "target").alias("target"), (F.col("t2").isNotNull() & (F.col("t2") != F.col("target"))).alias("moved")))
         at = step.select("source", "target")
+        if not step.where("moved AND source = target").isEmpty():
+            break
         if step.where("moved").isEmpty():
             return at
     raise ValueError("alias chain without an end")
