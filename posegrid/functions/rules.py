@@ -1,15 +1,18 @@
-"""Acceptance rules as column expressions over measured evidence. Thresholds are fixed values, stated where they stand.
+"""Acceptance rules as column expressions over measured evidence.
 
-Unknown evidence is null and makes a rule null: it neither accepts nor rejects.
+Unknown evidence is null and makes a rule null: it neither accepts nor rejects. `e` maps a name of evidence to its column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+Evidence = Callable[[str], Column]
+
 
 def every(*rules: Column) -> Column:
     return reduce(lambda a, b: a & b, rules)
@@ -19,83 +22,141 @@ def any_of(*rules: Column) -> Column:
     return reduce(lambda a, b: a | b, rules)
 
 
-def contained_duplicate(e) -> Column:
-    return every(e("inclusion") >= 0.95, e("cover") >= 0.99, e("support") >= 3, e("consensus") >= 0.5, e("separation") == 0)
+def at_least(e: Evidence, **limits: float) -> Column:
+    return every(*[e(k) >= v for k, v in limits.items()])
+
+
+# The thresholds below decide which results are accepted and must stay as they are.
+
+
+def contained_duplicate(e: Evidence) -> Column:
+    return at_least(e, inclusion=0.95, cover=0.99, support=3, consensus=0.5) & (e("separation") == 0)
+
+
+def granularity(e: Evidence) -> Column:
+    """`duplicate` shares the owner's surface; `transfer` moves a detached region to its only owner."""
+    duplicate = at_least(e, inclusion=0.95, cover=0.8, semantic=0.6, whole=5, consensus=0.5) & (e("separation") == 0)
+    transfer = at_least(e, gap=0.03, inclusion=0.95, cover=0.65, semantic=0.6, joint=8, owner=0.7, baseline=0.08) & (e("support") <= 0.25 * e("joint"))
+    return F.when(duplicate, "duplicate").when(transfer, "transfer").otherwise("none")
+
+
+def background_rejection(e: Evidence) -> Column:
+    return at_least(e, views=5, supported=0.5) & (e("background") > 0.5) & (e("extent") > 3)
+
+
+def planar_rejection(e: Evidence) -> Column:
+    """Only a level and flat surface is judged at all."""
+    return at_least(e, level=0.95, flat=0.9, views=5, supported=0.5) & (e("background") > 0.8)
+
+
+def confirmed_existence(e: Evidence) -> Column:
+    return (e("mixed") <= 0.1) & at_least(e, support=5, supported=0.65, baseline=0.08)
+
+
+def confirmed_core(e: Evidence) -> Column:
+    """A stable core may stand for the whole: its two longest sides must keep most of their length."""
+    sides = F.array_sort(F.array(*[e(f"keep{k}") for k in range(3)]))
+    return (e("mixed") <= 0.1) & at_least(e, support=5, baseline=0.08, core=128) & (e("core") >= 0.3 * e("points")) & (sides[2] >= 0.8) & (sides[1] >= 0.6)
+
+
+def hierarchy(e: Evidence) -> Column:
+    return at_least(e, whole=5, consensus=0.65, baseline=0.1)
+
+
+def native_merge(e: Evidence) -> Column:
+    return at_least(e, extent=0.5, semantic=0.8, whole=3, consensus=0.6) & (e("gap") <= 0.03) & (e("separation") == 0)
 
 
-def granularity(e) -> Column:
-    """duplicate, transfer or none."""
-    strong = every(e("inclusion") >= 0.9, e("support") >= 3, e("separation") == 0)
-    return F.when(strong & (e("cover") >= 0.9), "duplicate").when(strong & (e("consensus") >= 0.6), "transfer").otherwise("none")
+def whole_object(e: Evidence) -> Column:
+    """Role of a merge, or null; visible evidence is needed, invisibility never votes against."""
+    free = e("separation") == 0
+    shared = at_least(e, iou=0.9, cover=0.8, semantic=0.6, whole=5, consensus=0.5) & free
+    complement = e("visual") & at_least(e, iou=0.6, whole=3, consensus=0.8) & (e("gap") <= 0.04) & free
+    terminal = e("visual") & e("aligned") & at_least(e, whole=1, joint=2, consensus=0.5) & (e("gap") <= 0.05) & (e("separation") <= 1)
+    return F.when(shared, "shared_measured_surface").when(complement, "complementary_measured_body").when(terminal, "aligned_measured_terminal_face")
 
 
-def background_rejection(e) -> Column:
-    return every(e("frames") >= 5, e("consensus") >= 0.5, e("background") > 0.5, e("extent") > 3)
+def contradicted(e: Evidence) -> Column:
+    return at_least(e, views=5, visible=0.6, against=0.8) & (e("own") < 0.05) & (e("weighted") < 0.2)
 
 
-def hierarchy(e) -> Column:
-    return every(e("frames") >= 5, e("consensus") >= 0.65, e("baseline") >= 0.1)
+def rejection_reasons(e: Evidence) -> Column:
+    """All reasons that apply; semantic ones only where the geometry isn't reliable."""
+    reliable = e("supported") >= 0.6
+    rules = {
+        "mixed": (e("joint") >= 3) & (e("mixed") > 0.2),
+        "undetected": (e("views") >= 5) & (e("detected") < 0.2),
+        "below class mean": (e("margin") < 0) & ~reliable,
+        "no contrast": (e("margin") < 0.02) & ~reliable,
+        "background": background_rejection(e),
+    }
+    return F.array_join(F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()])), ", ")
 
 
-def native_merge(e) -> Column:
-    return every(e("extent") >= 0.5, e("cosine") >= 0.8, e("gap") <= 0.03)
+def compact(e: Evidence) -> Column:
+    """Why a candidate isn't a compact consensus, or `accepted`."""
+    weak = any_of(e("points") < 64, e("baseline") < 0.1, e("confidence") < 0.75, e("features") < 3)
+    return F.when(e("views") < 4, "too few frames").when(weak, "weak surface").when(e("extent") > 0.65, "too large").otherwise("accepted")
 
 
-def compact(e) -> Column:
-    return every(e("frames") >= 4, e("points") >= 64, e("baseline") >= 0.1, e("confidence") >= 0.75, e("extent") <= 0.65)
+def proposal(e: Evidence) -> Column:
+    """More frames may be of lower quality."""
+    quality = F.when(e("views") >= 6, 0.55).otherwise(0.75)
+    return at_least(e, views=4, features=3, baseline=0.15, points=64) & (e("confidence") >= quality) & (e("extent") <= 3)
 
 
-def admission(e) -> Column:
-    """Two views must agree strictly; more views may agree by majority."""
-    two = every(e("frames") == 2, e("consensus") >= 0.8, e("baseline") >= 0.15)
-    return any_of(two, every(e("frames") >= 3, e("consensus") >= 0.5))
+def admissible_pair(e: Evidence) -> Column:
+    """Score of two groups that may be one, else 0."""
+    low, high = F.least(e("cover"), e("inclusion")), F.greatest(e("cover"), e("inclusion"))
+    return F.when((e("gap") <= 0.006) & (e("same") | (e("semantic") >= 0.8)) & (e("separation") == 0) & (low >= 0.15) & (high >= 0.85), low).otherwise(0.0)
 
 
-def contradicted(e) -> Column:
-    return every(e("frames") >= 3, e("negative") >= 0.6, e("consensus") < 0.2)
+def admission(e: Evidence) -> Column:
+    """Branch by which a group is admitted, or null: two views must be better than many."""
+    two = (e("views") == 2) & at_least(e, confidence=0.75, best=0.9)
+    many = at_least(e, views=3, features=2, confidence=0.65, best=0.8)
+    seen = at_least(e, baseline=0.15, features=1)
+    return F.when(seen & two, "strict_two_view").when(seen & many, "multiview")
 
 
-def rejection_reason(e) -> Column:
-    """First reason that applies, in a fixed order."""
-    return (
-        F.when(e("separation") > e("support"), "mixed")
-        .when(e("confidence") < 0.3, "weak detection")
-        .when(e("cosine") < 0.2, "semantics")
-        .when(e("background") > 0.5, "background")
-    )
+def trim(e: Evidence) -> Column:
+    """At most three tenths go, and what stays is worth keeping."""
+    return (e("removed") <= 0.3) & (e("points") * (1 - e("removed")) >= 32)
 
 
-def trim(e) -> Column:
-    """At most three tenths may go, and what stays is coherent."""
-    return every(e("removed") <= 0.3, e("points") * (1 - e("removed")) >= 32)
+def existence_rejection(e: Evidence) -> Column:
+    eligible = every(e("linear") < 0.02, e("margin") < -0.02, e("views") >= 5, e("visible") >= 0.8, e("own") < 0.05, e("background") >= 0.9, e("weighted") < 0.35)
+    return eligible & at_least(e, joint=5, baseline=0.15)
 
 
-def isolated_minority(e) -> Column:
-    return every(e("core") >= 0.9, e("gap") > F.greatest(F.lit(0.1), e("diameter")))
+def isolated_fragment(e: Evidence) -> Column:
+    return (e("views") >= 2) & (e("joint") < 3) & (e("views") / F.greatest(e("views") + e("joint"), F.lit(1.0)) >= 0.6) & (e("baseline") >= 0.15)
 
 
-def witnessed(e) -> Column:
-    return every(e("support") >= 2, e("confidence") >= 0.5, e("points") >= 128)
+def witnessed(e: Evidence) -> Column:
+    return at_least(e, support=2, confidence=0.5, points=128)
 
 
-def support_proposal(e) -> Column:
-    return every(e("frames") >= 3, e("cover") >= 0.7, e("purity") >= 0.6)
+def support_surface(e: Evidence) -> Column:
+    return at_least(e, views=3, cover=0.7, purity=0.6)
 
 
-def planar(e) -> Column:
-    return every(e("inliers") >= 0.8, e("extent") >= 0.5)
+def planar(e: Evidence) -> Column:
+    return at_least(e, points=4096, flat=0.8, extent=0.5)
 
 
-def dense_recovery(e) -> Column:
+def dense_recovery(e: Evidence) -> Column:
     return e("points") >= 256
 
 
-def evidence_rank(e) -> Column:
+def evidence_rank(e: Evidence) -> Column:
     return e("confidence") * F.sqrt(e("cover"))
 
 
 RULES = {
-    "p01_contained_duplicate": contained_duplicate, "p02_granularity": granularity, "p03_background_rejection": background_rejection, "p06_hierarchy": hierarchy,
-    "p07_native_merge": native_merge, "p09_contradicted": contradicted, "p10_rejection_reason": rejection_reason, "p11_compact": compact, "p13_admission": admission,
-    "p14_trim": trim, "p16_isolated_minority": isolated_minority, "p17_witnessed": witnessed, "p24_support_proposal": support_proposal, "p26_planar": planar, "p27_dense_recovery": dense_recovery,
+    "p01_contained_duplicate": contained_duplicate, "p02_granularity": granularity, "p03_background_rejection": background_rejection, "p04_planar_rejection": planar_rejection,
+    "p05_confirmed_existence": confirmed_existence, "p05_confirmed_core": confirmed_core, "p06_hierarchy": hierarchy, "p07_native_merge": native_merge, "p08_whole_object": whole_object,
+    "p09_contradicted": contradicted, "p10_rejection_reasons": rejection_reasons, "p11_compact": compact, "p12_proposal": proposal, "p12_admissible_pair": admissible_pair, "p13_admission": admission,
+    "p14_trim": trim, "p15_existence_rejection": existence_rejection, "p16_isolated_fragment": isolated_fragment, "p17_witnessed": witnessed, "p24_support_surface": support_surface,
+    "p26_planar": planar, "p27_dense_recovery": dense_recovery,
 }

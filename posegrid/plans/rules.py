@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as P
@@ -10,28 +9,43 @@ from ..operators import spatial
 from .geometry import r6
 from .registry import VIEWS, obs, pts, query, table
 
+#: Evidence is read from line items so that every rule has cases on both sides of its thresholds.
 EVIDENCE = {
-    "support": "l_linenumber % 5", "separation": "l_linenumber % 2", "frames": "l_linenumber", "consensus": "l_discount * 10", "inclusion": "0.9 + l_discount", "cover": "0.92 + l_tax",
-    "cosine": "l_tax * 12", "extent": "l_quantity / 15", "points": "l_quantity * 8", "confidence": "l_discount * 8 + 0.2", "baseline": "l_tax * 3", "gap": "l_tax", "background": "l_quantity / 50",
-    "negative": "l_quantity / 40", "removed": "l_discount * 5", "core": "0.85 + l_discount", "diameter": "l_quantity / 1000", "purity": "l_quantity / 60", "inliers": "0.72 + l_tax * 2",
+    "support": "l_linenumber % 6", "separation": "(l_orderkey + l_linenumber) % 2", "joint": "l_linenumber * 2", "whole": "l_linenumber + 1", "views": "l_linenumber + l_partkey % 3", "features": "l_suppkey % 5",
+    "consensus": "0.3 + l_discount * 7", "owner": "0.4 + l_discount * 6", "inclusion": "0.9 + l_discount", "cover": "0.6 + l_tax * 5", "semantic": "0.4 + l_tax * 7", "iou": "0.5 + l_discount * 5", "purity": "l_quantity / 50",
+    "extent": "l_quantity / 12", "points": "l_quantity * 8 * (l_partkey % 20 + 1)", "core": "l_quantity * 10", "confidence": "0.5 + l_discount * 5", "best": "0.6 + l_discount * 5", "baseline": "l_tax * 3", "gap": "0.08 - l_tax",
+    "background": "l_quantity / 45", "supported": "l_discount * 9", "visible": "0.4 + l_tax * 7", "against": "0.5 + l_tax * 6", "own": "l_discount", "weighted": "l_discount * 4", "mixed": "l_tax * 3", "detected": "l_discount * 4",
+    "margin": "l_discount - 0.05", "linear": "l_discount / 8", "level": "0.9 + l_discount", "flat": "0.7 + l_tax * 4", "removed": "l_discount * 5", "keep0": "0.5 + l_tax * 6", "keep1": "0.4 + l_discount * 6", "keep2": "l_quantity / 50",
 }
-VIEWS["ev"] = "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"({v.replace('0.9 ', '0.9::DOUBLE ')})::DOUBLE AS {k}" for k, v in EVIDENCE.items()) + " FROM lineitem"
+FLAGS = {"visual": "l_returnflag = 'R'", "aligned": "l_linestatus = 'O'", "same": "l_linestatus = 'F'"}
 
 RULE_SQL = {
     "p01_contained_duplicate": "inclusion >= 0.95 AND cover >= 0.99 AND support >= 3 AND consensus >= 0.5 AND separation = 0",
-    "p02_granularity": "CASE WHEN inclusion >= 0.9 AND support >= 3 AND separation = 0 AND cover >= 0.9 THEN 'duplicate' WHEN inclusion >= 0.9 AND support >= 3 AND separation = 0 AND consensus >= 0.6 THEN 'transfer' ELSE 'none' END",
-    "p03_background_rejection": "frames >= 5 AND consensus >= 0.5 AND background > 0.5 AND extent > 3",
-    "p06_hierarchy": "frames >= 5 AND consensus >= 0.65 AND baseline >= 0.1",
-    "p07_native_merge": "extent >= 0.5 AND cosine >= 0.8 AND gap <= 0.03",
-    "p09_contradicted": "frames >= 3 AND negative >= 0.6 AND consensus < 0.2",
-    "p10_rejection_reason": "CASE WHEN separation > support THEN 'mixed' WHEN confidence < 0.3 THEN 'weak detection' WHEN cosine < 0.2 THEN 'semantics' WHEN background > 0.5 THEN 'background' END",
-    "p11_compact": "frames >= 4 AND points >= 64 AND baseline >= 0.1 AND confidence >= 0.75 AND extent <= 0.65",
-    "p13_admission": "(frames = 2 AND consensus >= 0.8 AND baseline >= 0.15) OR (frames >= 3 AND consensus >= 0.5)",
+    "p02_granularity": """CASE WHEN inclusion >= 0.95 AND cover >= 0.8 AND semantic >= 0.6 AND whole >= 5 AND consensus >= 0.5 AND separation = 0 THEN 'duplicate'
+        WHEN gap >= 0.03 AND inclusion >= 0.95 AND cover >= 0.65 AND semantic >= 0.6 AND joint >= 8 AND owner >= 0.7 AND baseline >= 0.08 AND support <= 0.25 * joint THEN 'transfer' ELSE 'none' END""",
+    "p03_background_rejection": "views >= 5 AND supported >= 0.5 AND background > 0.5 AND extent > 3",
+    "p04_planar_rejection": "level >= 0.95 AND flat >= 0.9 AND views >= 5 AND supported >= 0.5 AND background > 0.8",
+    "p05_confirmed_existence": "mixed <= 0.1 AND support >= 5 AND supported >= 0.65 AND baseline >= 0.08",
+    "p05_confirmed_core": """mixed <= 0.1 AND support >= 5 AND baseline >= 0.08 AND core >= 128 AND core >= 0.3 * points AND list_sort([keep0, keep1, keep2])[3] >= 0.8 AND list_sort([keep0, keep1, keep2])[2] >= 0.6""",
+    "p06_hierarchy": "whole >= 5 AND consensus >= 0.65 AND baseline >= 0.1",
+    "p07_native_merge": "extent >= 0.5 AND semantic >= 0.8 AND whole >= 3 AND consensus >= 0.6 AND gap <= 0.03 AND separation = 0",
+    "p08_whole_object": """CASE WHEN iou >= 0.9 AND cover >= 0.8 AND semantic >= 0.6 AND whole >= 5 AND consensus >= 0.5 AND separation = 0 THEN 'shared_measured_surface'
+        WHEN visual AND iou >= 0.6 AND whole >= 3 AND consensus >= 0.8 AND gap <= 0.04 AND separation = 0 THEN 'complementary_measured_body'
+        WHEN visual AND aligned AND whole >= 1 AND joint >= 2 AND consensus >= 0.5 AND gap <= 0.05 AND separation <= 1 THEN 'aligned_measured_terminal_face' END""",
+    "p09_contradicted": "views >= 5 AND visible >= 0.6 AND against >= 0.8 AND own < 0.05 AND weighted < 0.2",
+    "p10_rejection_reasons": """array_to_string(list_filter([CASE WHEN joint >= 3 AND mixed > 0.2 THEN 'mixed' END, CASE WHEN views >= 5 AND detected < 0.2 THEN 'undetected' END, CASE WHEN margin < 0 AND NOT supported >= 0.6 THEN 'below class mean' END,
+        CASE WHEN margin < 0.02 AND NOT supported >= 0.6 THEN 'no contrast' END, CASE WHEN views >= 5 AND supported >= 0.5 AND background > 0.5 AND extent > 3 THEN 'background' END], lambda x: x IS NOT NULL), ', ')""",
+    "p11_compact": "CASE WHEN views < 4 THEN 'too few frames' WHEN points < 64 OR baseline < 0.1 OR confidence < 0.75 OR features < 3 THEN 'weak surface' WHEN extent > 0.65 THEN 'too large' ELSE 'accepted' END",
+    "p12_proposal": "views >= 4 AND features >= 3 AND baseline >= 0.15 AND points >= 64 AND confidence >= CASE WHEN views >= 6 THEN 0.55 ELSE 0.75 END AND extent <= 3",
+    "p12_admissible_pair": "CASE WHEN gap <= 0.006 AND (same OR semantic >= 0.8) AND separation = 0 AND least(cover, inclusion) >= 0.15 AND greatest(cover, inclusion) >= 0.85 THEN least(cover, inclusion) ELSE 0.0::DOUBLE END",
+    "p13_admission": """CASE WHEN baseline >= 0.15 AND features >= 1 AND views = 2 AND confidence >= 0.75 AND best >= 0.9 THEN 'strict_two_view'
+        WHEN baseline >= 0.15 AND features >= 1 AND views >= 3 AND features >= 2 AND confidence >= 0.65 AND best >= 0.8 THEN 'multiview' END""",
     "p14_trim": "removed <= 0.3 AND points * (1 - removed) >= 32",
-    "p16_isolated_minority": "core >= 0.9 AND gap > greatest(0.1, diameter)",
+    "p15_existence_rejection": "linear < 0.02 AND margin < -0.02 AND views >= 5 AND visible >= 0.8 AND own < 0.05 AND background >= 0.9 AND weighted < 0.35 AND joint >= 5 AND baseline >= 0.15",
+    "p16_isolated_fragment": "views >= 2 AND joint < 3 AND views / greatest(views + joint, 1.0) >= 0.6 AND baseline >= 0.15",
     "p17_witnessed": "support >= 2 AND confidence >= 0.5 AND points >= 128",
-    "p24_support_proposal": "frames >= 3 AND cover >= 0.7 AND purity >= 0.6",
-    "p26_planar": "inliers >= 0.8 AND extent >= 0.5",
+    "p24_support_surface": "views >= 3 AND cover >= 0.7 AND purity >= 0.6",
+    "p26_planar": "points >= 4096 AND flat >= 0.8 AND extent >= 0.5",
     "p27_dense_recovery": "points >= 256",
 }
 
@@ -39,10 +53,11 @@ RULE_SQL = {
 def evidence(spark, d):
     # Rounded, so that thresholds do not depend on the last bit.
     cols = [F.round(F.expr(v).cast("double"), 6).alias(k) for k, v in EVIDENCE.items()]
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *cols)
+    flags = [F.expr(v).alias(k) for k, v in FLAGS.items()]
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *cols, *flags)
 
 
-VIEWS["ev"] = "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in EVIDENCE.items()) + " FROM lineitem"
+VIEWS["ev"] = "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in EVIDENCE.items()) + ", " + ", ".join(f"{v} AS {k}" for k, v in FLAGS.items()) + " FROM lineitem"
 
 
 def _rule(name, rule):
