@@ -310,3 +310,72 @@ def dense_recovery(spark, d):
     p = pts(spark, d).withColumns({"i": S.cell(F.col("x"), 0.1), "j": S.cell(F.col("y"), 0.1)})
     c = p.groupBy("i", "j").agg(F.countDistinct("g").alias("views")).where("views >= 3")
     return p.join(c, ["i", "j"], "left_semi").select("id")
+
+
+@query("n03_cleaned_nodes")
+def cleaned_nodes(spark, d):
+    """Largest cluster without outliers, refitted; nodes of under four points go, and edges to them with them."""
+    def run(p):
+        q = xyz(p)
+        q = q[K.largest(K.dbscan(q, 0.2, 2))]
+        q = q[K.statistical_inliers(q, 20, 2.0)] if len(q) else q
+        if len(q) < 4:
+            return pd.DataFrame({"g": [], "n": [], "x": [], "y": [], "z": [], "size": []})
+        c, _, size = K.principal_box(q)
+        return pd.DataFrame({"g": [p["g"].iloc[0]], "n": [len(q)], "x": [c[0]], "y": [c[1]], "z": [c[2]], "size": [size]})
+
+    nodes = graphs.settled(per_instance(spark, d, run, "g int, n long, x double, y double, z double, size array<double>"))
+    edges = spatial.near_pairs(nodes, 2.0, "g").groupBy("a").agg(F.count("*").alias("neighbours"))
+    return nodes.join(edges, nodes["g"] == edges["a"], "left").select("g", "n", r6("x").alias("x"), r6("y").alias("y"), r6("z").alias("z"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+@query("n07_unified_graph", """
+SELECT 'object' AS node_type, r_regionkey AS id, r_name AS name, NULL::INT AS parent FROM region UNION ALL
+SELECT 'part', n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) >= 2)""")
+def unified_graph(spark, d):
+    """Objects and confirmed parts in one table of nodes."""
+    objects = table(spark, d, "region").select(F.lit("object").alias("node_type"), F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    confirmed = table(spark, d, "customer").groupBy("c_nationkey").count().where("count >= 2").select(F.col("c_nationkey").alias("id"))
+    parts = table(spark, d, "nation").select(F.lit("part").alias("node_type"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))
+    return objects.unionByName(parts.join(confirmed, "id", "left_semi"), allowMissingColumns=True)
+
+
+@query("y02_role_partners", """
+WITH p AS (SELECT DISTINCT l_suppkey AS child, l_partkey % 40 AS parent, l_returnflag = 'R' AS support FROM lineitem WHERE l_discount >= 0.1 AND l_tax >= 0.07), c AS (SELECT *, count(*) OVER (PARTITION BY child, support) AS nc, count(*) OVER (PARTITION BY parent, support) AS np FROM p)
+SELECT child, parent, support FROM c WHERE nc = 1 AND (np = 1 OR NOT support)""")
+def role_partners(spark, d):
+    """A support and its body have only each other; other parts need one possible parent, which may have several."""
+    p = table(spark, d, "lineitem").where("l_discount >= 0.1 AND l_tax >= 0.07").select(F.col("l_suppkey").alias("child"), (F.col("l_partkey") % 40).alias("parent"), (F.col("l_returnflag") == "R").alias("support")).distinct()
+    n = lambda c: F.count("*").over(Window.partitionBy(c, "support"))
+    return p.withColumn("nc", n("child")).withColumn("np", n("parent")).where("nc = 1 AND (np = 1 OR NOT support)").select("child", "parent", "support")
+
+
+@query("y04_aggregate_rejection", """
+WITH s AS (SELECT mask_id, count(*) AS n FROM masks GROUP BY 1), o AS (SELECT a.mask_id AS big, b.mask_id AS child, count(*) AS k FROM masks a JOIN masks b ON a.point_id = b.point_id AND a.mask_id <> b.mask_id GROUP BY 1, 2),
+c AS (SELECT big, child FROM o JOIN s ON s.mask_id = child WHERE k >= 0.3 * n), u AS (SELECT c.big AS big, count(DISTINCT m.point_id) AS covered FROM c JOIN masks m ON m.mask_id = c.child JOIN masks w ON w.mask_id = c.big AND w.point_id = m.point_id GROUP BY 1), k AS (SELECT big, count(*) AS children FROM c GROUP BY 1)
+SELECT u.big AS mask_id, children, round(covered / n::DOUBLE, 6) AS cover FROM u JOIN k USING (big) JOIN s ON s.mask_id = u.big WHERE children >= 2 AND covered >= 0.6 * n""", "masks")
+def aggregate_rejection(spark, d):
+    """Masks that several independent children cover jointly are aggregates."""
+    m = masks(spark, d)
+    o = M.overlaps(m)
+    both = o.select("a", "b", "both", "size_b").unionByName(o.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", F.col("size_a").alias("size_b")))
+    c = both.where("both >= 0.3 * size_b").select(F.col("a").alias("big"), F.col("b").alias("child"))
+    covered = c.join(m.withColumnRenamed("mask_id", "child"), "child").join(m.withColumnRenamed("mask_id", "big"), ["big", "point_id"]).groupBy("big").agg(F.countDistinct("point_id").alias("covered"))
+    n = m.groupBy(F.col("mask_id").alias("big")).agg(F.count("*").alias("n"))
+    k = c.groupBy("big").agg(F.count("*").alias("children"))
+    return covered.join(k, "big").join(n, "big").where("children >= 2 AND covered >= 0.6 * n").select(F.col("big").alias("mask_id"), "children", r6(F.col("covered") / F.col("n")).alias("cover"))
+
+
+@query("y07_closed_storage", """
+WITH c AS (SELECT brand AS g, count(DISTINCT (floor(lox)::BIGINT * 100 + floor(loy)::BIGINT)) / 80.0 AS occupancy, count(*) FILTER (size % 5 = 0) AS frames FROM boxes GROUP BY 1) SELECT g, round(occupancy, 6) AS occupancy, CASE WHEN occupancy >= 0.6 AND frames >= 3 THEN 'cabinet' ELSE g END AS name FROM c""", "boxes")
+def closed_storage(spark, d):
+    c = boxes(spark, d).groupBy(F.col("brand").alias("g")).agg((F.countDistinct(F.floor("lox") * 100 + F.floor("loy")) / 80.0).alias("occupancy"), F.count_if(F.col("size") % 5 == 0).alias("frames"))
+    return c.select("g", r6("occupancy").alias("occupancy"), F.when((F.col("occupancy") >= 0.6) & (F.col("frames") >= 3), "cabinet").otherwise(F.col("g")).alias("name"))
+
+
+@query("y13_world_frame_guard", """
+SELECT scene, label, count(*) AS n FROM obs WHERE scene IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1, 2""", "obs")
+def world_frame_guard(spark, d):
+    """Constructors run only on scenes whose manifest states the frame they need."""
+    level = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("scene"))
+    return obs(spark, d).join(level, "scene", "left_semi").groupBy("scene", "label").agg(F.count("*").alias("n"))
