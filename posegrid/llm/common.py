@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -92,7 +93,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/posegrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+    for t in tables:
+        _drop(spark, t.written_to)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -22,28 +22,28 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, reads_files, written
+from .common import bytes_of, chunks, reads_files, released, written
 
 ORDER = 5
 EDGE = 0xFF
 #: Stands for the end token; words hold no white space.
 END_WORD = b" "
-SCORE_BYTES = 6 << 20
+SCORE_BYTES = 2 << 20
 
 
 def symbols(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the (order + 1)-byte windows that end in each symbol, the end included; first symbol of each text."""
     n = len(offs) - 1
     sizes = np.diff(offs)
-    padded = np.full(len(data) + n * (order + 1), EDGE, np.uint8)
+    padded = np.full(len(data) + n * (order + 1) + 8, EDGE, np.uint8)
     at = np.arange(len(data)) + np.repeat(np.arange(n) * (order + 1) + order, sizes)
     padded[at] = data
-    code = np.zeros(len(padded) - order, np.int64)
-    for k in range(order + 1):
-        code |= padded[k : len(padded) - order + k].astype(np.int64) << np.int64(8 * (order - k))
+    # Eight bytes from every position, read big-endian; the first order + 1 of them are the window.
+    eight = np.ndarray((len(padded) - 8 - order,), ">u8", padded, strides=(1,))
+    code = (eight.astype(np.uint64) >> np.uint64(8 * (7 - order))).astype(np.int64)
     # windows that would begin in one text's end and reach into the next are those that end in the next's padding
     keep = np.ones(len(code), bool)
     ends = np.cumsum(sizes + order + 1)[:-1]
@@ -95,16 +95,19 @@ class Trie:
             level.exclude(self.levels[k - 1] if k else None, k)
 
     def probability(self, seq: np.ndarray) -> np.ndarray:
-        """Of the last byte of each window after the bytes before it."""
-        p = np.full(len(seq), 1 / 256)
+        """Of the last byte of each window after the bytes before it. Every level looks at each of its windows once, in order."""
+        chain = [(seq, np.arange(len(seq)))]
+        for k in range(len(self.levels) - 1, -1, -1):
+            chain.append(np.unique(chain[-1][0] & ((1 << (8 * (k + 1))) - 1), return_inverse=True))
+        p = np.full(len(chain[-1][0]), 1 / 256)
         for k, level in enumerate(self.levels):
-            if not len(level.seq):
-                continue
-            own = seq & ((1 << (8 * (k + 1))) - 1)
-            c, there = found(level.context, own >> 8)
-            e, known = found(level.seq, own)
-            escape = 0.5 * level.distinct[c] / level.total[c] / level.left[c]
-            p = np.where(known, level.known[e], np.where(there, p * escape, p))
+            own, up = chain[len(self.levels) - k]
+            if len(level.seq):
+                c, there = found(level.context, own >> 8)
+                e, known = found(level.seq, own)
+                escape = 0.5 * level.distinct[c] / level.total[c] / level.left[c]
+                p = np.where(known, level.known[e], np.where(there, p * escape, p))
+            p = p[up]
         return p
 
 
@@ -155,37 +158,47 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             keys = [*words, *(w for w in more if w not in words)]
             n = [words.get(w, 0) for w in keys]
             seq, times = _summed(codes)
+            order_ = np.argsort(seq)  # sorted, it takes less space
+            seq, times = seq[order_], times[order_]
             for lo in range(0, len(keys), 100_000):
                 k = keys[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(k, pa.binary()), pa.nulls(len(k), pa.int64()), pa.array(n[lo : lo + 100_000], pa.int64())], names)
             for lo in range(0, len(seq), 100_000):
-                s = seq[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int32)), pa.array(np.full(len(s), block, np.int32)), pa.nulls(len(s), pa.binary()), pa.array(s), pa.array(times[lo : lo + 100_000])], names)
+                yield from rows(1, block, seq[lo : lo + 100_000], times[lo : lo + 100_000])
+            context = seq >> 8
+            for k in range(order, -1, -1):
+                # kind 2 + k: contexts of k bytes that occur in the block
+                context = np.unique(context & ((1 << (8 * k)) - 1))
+                for lo in range(0, len(context), 100_000):
+                    c = context[lo : lo + 100_000]
+                    yield from rows(2 + k, block, c, np.zeros(len(c), np.int64))
+
+    def rows(kind, block, seq, n):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), kind, np.int32)), pa.array(np.full(len(seq), block, np.int32)), pa.nulls(len(seq), pa.binary()), pa.array(seq), pa.array(n)], names)
 
     names = ["kind", "block", "word", "seq", "n"]
     counted = written(texts.mapInArrow(count, "kind int, block int, word binary, seq long, n long"))
-    words = counted.where("kind = 0")
-    totals = written(words.groupBy("word").agg(F.sum("n").alias("c")))
-    facts = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    spark = docs.sparkSession
+    # A word has one row per block at most.
+    same = Window.partitionBy("word")
+    words = counted.where("kind = 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("once"))
+    words = written(words)
+    facts = words.where("once").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     all_tokens, distinct = int(facts["n"]), int(facts["v"])
-    known = words.select("block", "word").distinct().join(totals, "word").select("block", F.lit(-1).alias("k"), F.col("word").alias("key"), F.col("c").alias("n"), F.lit(None).cast("binary").alias("syms"), F.lit(None).cast("array<long>").alias("counts"))
 
-    windows = counted.where("kind = 1")
-    longest = written(windows.where("n > 0").groupBy("seq").agg(F.sum("n").alias("n")))
-    asked = written(windows.select("block", F.shiftright("seq", 8).alias("context")).distinct())
-    known_contexts, wanted = None, None
+    longest = written(counted.where("kind = 1 AND n > 0").groupBy("seq").agg(F.sum("n").alias("n")))
+    known_contexts = None
     for k in range(order, -1, -1):
         mask = F.lit((1 << (8 * k)) - 1)
         entry = longest.groupBy(F.shiftright("seq", 8).bitwiseAND(mask).alias("context"), F.col("seq").bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n"))
         # A context has 256 symbols at most.
-        rows = entry.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("sym", "n"))).alias("next")).select(F.lit(k).alias("k"), "context", "next")
-        ask = asked.select("block", F.lit(k).alias("k"), F.col("context").bitwiseAND(mask).alias("context")).distinct()
-        known_contexts = rows if known_contexts is None else known_contexts.unionByName(rows)
-        wanted = ask if wanted is None else wanted.unionByName(ask)
-    given = wanted.join(known_contexts, ["k", "context"])
-    side = known.unionByName(
-        given.select("block", "k", F.lit(None).cast("binary").alias("key"), F.col("context").alias("n"), F.lit(None).cast("binary").alias("syms"), F.flatten(F.transform("next", lambda s: F.array(s["sym"], s["n"]))).alias("counts"))
-    ).drop("syms")
+        own = entry.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("sym", "n"))).alias("next"))
+        own = own.select(F.lit(k).alias("k"), "context", F.flatten(F.transform("next", lambda s: F.array(s["sym"], s["n"]))).alias("counts"))
+        known_contexts = own if known_contexts is None else known_contexts.unionByName(own)
+    asked = counted.where("kind >= 2").select("block", (F.col("kind") - 2).alias("k"), F.col("seq").alias("context"))
+    given = written(asked.join(known_contexts, ["k", "context"]).select("block", "k", "context", "counts"))
+    released(spark, counted, longest)
+    side = words.select("block", F.lit(-1).alias("k"), F.col("word").alias("key"), F.col("c").alias("n")).unionByName(given.select("block", "k", F.col("context").alias("n"), "counts"), allowMissingColumns=True)
     floor = all_tokens + 0.5 * (distinct + 1)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -194,6 +207,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             return pa.table({"doc_id": left.column("doc_id"), **{n: pa.array([], t) for n, t in kinds}})
         tokens = right.filter(pa.array(k == -1))
         c_of = dict(zip(tokens.column("key").to_pylist(), tokens.column("n").to_pylist(), strict=True))
+        del tokens
         levels = []
         for length in range(order + 1):
             own = right.filter(pa.array(k == length))
