@@ -6,7 +6,7 @@ it takes its products with the few code words of each half, and lists the combin
 are joined on filters; a pair is verified by its cosine in double precision, in the first filter that both share only.
 
 The threshold follows the number of vectors, so that a filter holds about PER_FILTER of them; the code size follows the
-threshold, so that two vectors at the link's cosine share SHARED filters on average. Filters with more than CHUNK vectors
+threshold, so that two vectors at the link's cosine share SHARED filters of each of CODES codes on average. Filters with more than CHUNK vectors
 are split into pairs of chunks.
 
 Defined results: vectors that are null, of another length than the commonest, zero or not finite have no links, their
@@ -30,7 +30,10 @@ from .vectors import from_bytes, matrix, takes_part, to_bytes, width_of
 
 COSINE = 0.95
 PER_FILTER = 48
-SHARED = 14
+#: Independent codes, and how many filters of each two vectors at the limit share on average. One code may cover a dense
+#: group badly as a whole; several seldom all do.
+CODES = 4
+SHARED = 6
 CHUNK = 512
 NORMAL = NormalDist()
 
@@ -49,29 +52,31 @@ class Code:
         too = float((weight * [1 - NORMAL.cdf((t - cosine * v) / sigma) for v in z]).sum() / weight.sum())
         self.words = max(4, math.ceil(math.sqrt(SHARED / too / share)))
         self.half = (width + 1) // 2
-        turn = np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0]
-        self.turn = turn[:width]  # odd widths are filled up with a zero
         self.codes = []
-        for _ in range(2):
-            c = rng.standard_normal((self.half, self.words))
-            self.codes.append(c / np.linalg.norm(c, axis=0))
+        for _ in range(CODES):
+            turn = np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0][:width]  # odd widths are filled up with a zero
+            halves = [rng.standard_normal((self.half, self.words)) for _ in range(2)]
+            self.codes.append((turn, *(c / np.linalg.norm(c, axis=0) for c in halves)))
         self.threshold = t * math.sqrt(2 / (2 * self.half))
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that the unit vectors exceed, by row."""
-        x = unit @ self.turn
-        a, b = x[:, : self.half] @ self.codes[0], x[:, self.half :] @ self.codes[1]
-        order = np.argsort(-b, axis=1)
-        sorted_b = np.take_along_axis(b, order, axis=1)
-        rows, filters = [], []
-        for r in range(len(x)):
-            reach = np.searchsorted(-sorted_b[r], a[r] - self.threshold, side="right")
-            i = np.repeat(np.arange(self.words), reach)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
-            rows.append(np.full(len(i), r))
-            filters.append(np.sort(i * self.words + order[r][j]))
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """(row, filter) of all filters that the unit vectors exceed, by row and filter."""
+        found = []
+        for k, (turn, first, second) in enumerate(self.codes):
+            x = unit @ turn
+            a, b = x[:, : self.half] @ first, x[:, self.half :] @ second
+            order = np.argsort(-b, axis=1)
+            found.append((k * self.words**2, a, order, -np.take_along_axis(b, order, axis=1)))
+        rows, filters = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r in range(len(unit)):
+            own = []
+            for base, a, order, falling in found:
+                reach = np.searchsorted(falling[r], a[r] - self.threshold, side="right")
+                i = np.repeat(np.arange(self.words), reach)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
+                own.append(np.sort(base + i * self.words + order[r][j]))
+            filters += own
+            rows.append(np.full(sum(map(len, own)), r))
         return np.concatenate(rows), np.concatenate(filters).astype(np.int64)
 
 
