@@ -21,15 +21,15 @@ LEAST_QUALITY = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs, split_of("id", 4) != 2)
-    judged = lang_id.predict(docs, model, keep=docs.columns)
     if model is None:
         return docs
-    return judged.where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    judged = lang_id.judged(docs, model, "__lang")
+    return judged.where((F.col("__lang.lang_pred") != lang_id.UNKNOWN) & (F.col("__lang.score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=docs.columns).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.judged(docs, model, "__quality").where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches):
         seen, df, n = np.zeros((1 << BITS) + 1, bool), np.zeros((1 << BITS) + 1, np.int64), 0
-        for _, data, offs in text_batches(batches, limit=2 << 20):
+        for _, data, offs in text_batches(batches, limit=1 << 20):
             texts = decoded(data, offs)
             hashed, starts, total = grams(texts)
             ends = np.append(starts[1:], len(hashed[0]))
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches):
         m = shared.value
-        for batch, data, offs in text_batches(batches, "__text", max(1 << 16, (8 << 20) // len(m.labels))):
+        for batch, data, offs in text_batches(batches, "__text", max(1 << 16, (4 << 20) // len(m.labels))):
             texts = decoded(data, offs)
             best, p = m.predict(texts)
             found = [LETTER.search(t) is not None for t in texts]
@@ -206,3 +206,24 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def judged(docs: DataFrame, model: Model | None, name: str, text_col: str = "text") -> DataFrame:
+    """docs with one more column `name`, a struct of lang_pred and score; only the text goes through Python."""
+    if model is None:
+        return docs.withColumn(name, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def judge(text: pa.Array) -> pa.Array:
+        m, names, scores = shared.value, [], []
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        for _, data, offs in text_batches([batch], limit=max(1 << 16, (4 << 20) // len(m.labels))):
+            texts = decoded(data, offs)
+            best, p = m.predict(texts)
+            found = [LETTER.search(t) is not None for t in texts]
+            names += [m.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), found, strict=True)]
+            scores.append(np.where(found, p, 0.0))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang_pred", "score"])
+
+    return docs.withColumn(name, judge(F.coalesce(F.col(text_col), F.lit(""))))

@@ -29,7 +29,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 FAN_IN = 8
 END_ID = 1
-ROWS_OUT = 20_000
+ROWS_OUT, IDS_OUT = 20_000, 1 << 20
 
 
 @lru_cache(2)
@@ -133,26 +133,27 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         offset = 0
         for doc, start, ids, n in pieces:
             raw = ids.astype("<u4").tobytes()
-            row = (doc, start, len(ids), zlib.crc32(raw), n, sequence, offset, ids.astype(np.int64) if ids_too else None, part, slot)
+            row = (doc, start, len(ids), zlib.crc32(raw), n, sequence, offset, ids.astype(np.int32) if ids_too else None, part, slot)
             for name, value in zip(names, row, strict=True):
                 columns[name].append(value)
             offset += len(ids)
 
     def first(batches):
         part, count, packer = TaskContext.get().partitionId(), 0, Packer(window, open_windows)
-        columns = {n: [] for n in names}
-        schema = None
+        columns, held = {n: [] for n in names}, 0
         for doc, ids in tokenised(batches, path, "doc_id"):
             for pieces in packer.add(doc, ids):
                 emit(columns, pieces, (part << 40) + count)
                 count += 1
-            if len(columns["doc_id"]) >= ROWS_OUT:
-                yield _rows(columns, schema := schema or arrow)
-                columns = {n: [] for n in names}
+            held += len(ids)
+            if len(columns["doc_id"]) >= ROWS_OUT or held >= IDS_OUT:
+                yield _rows(columns, arrow)
+                columns, held = {n: [] for n in names}, 0
         for slot, pieces in enumerate(packer.open):
             emit(columns, pieces, None, part, slot, True)
         if columns["doc_id"]:
             yield _rows(columns, arrow)
+        tokenizer(path).forget()  # the worker lives on
 
     def last(key, table):
         columns = {n: [] for n in names}
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             emit(columns, pieces, ((1 << 21) + group << 40) + count)
         return pa.Table.from_batches([_rows(columns, arrow)])
 
-    full = f"{fields}, ids array<long>, part long, slot int"
+    full = f"{fields}, ids array<int>, part long, slot int"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession

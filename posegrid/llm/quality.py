@@ -24,6 +24,8 @@ from .sampling import bounded_sample
 
 #: Bound of the fitting sample, for each label.
 PER_LABEL = 1500
+#: Bytes of text whose features are computed at a time; they take about 60 bytes each.
+AT_ONCE = 1 << 20
 ROUNDS = 150
 RATE = 0.15
 PENALTY = 1e-3
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(np.zeros(WIDTH), np.zeros((2, 2)), float(next(iter(counts), 1)))
 
     def run(batches):
-        for batch, data, offs in text_batches(batches):
+        for batch, data, offs in text_batches(batches, limit=AT_ONCE):
             x, _, n = line_features(data, offs)
             cuts = np.concatenate(([0], np.cumsum(n)))
             rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -238,8 +240,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch, data, offs in text_batches(batches, "__text"):
+        for batch, data, offs in text_batches(batches, "__text", AT_ONCE):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(shared.value.scores(data, offs))], [*columns, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, f"{kinds}, score double")
+
+
+def judged(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """docs with one more column `name`, the score; only the text goes through Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def judge(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        scores = [shared.value.scores(data, offs) for _, data, offs in text_batches([batch], limit=AT_ONCE)]
+        return pa.array(np.concatenate(scores) if scores else [], pa.float64())
+
+    return docs.withColumn(name, judge(F.coalesce(F.col(text_col), F.lit(""))))

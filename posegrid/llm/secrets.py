@@ -196,34 +196,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """The same rows and columns; every found span of the text is replaced by `mark`, overlapping ones by one. Null stays null."""
-    columns = docs.columns
 
-    def run(batches):
-        for whole in batches:
-            if not whole.num_rows:
-                continue
-            column = whole.column(text_col)
-            filled = pa.RecordBatch.from_arrays([column.fill_null("")], ["text"])
-            parts = []
-            for _, data, offs in text_batches([filled]):
-                spans = found(data, offs)
-                raw = data.tobytes() if spans else b""
-                new = {}
-                for text, own in spans.items():
-                    s, out, at = raw[offs[text] : offs[text + 1]].decode("utf-8", "replace"), [], 0
-                    for a, b, _ in own:
-                        if a >= at:
-                            out += [s[at:a], mark]
-                        at = max(at, b)
-                    new[text] = "".join(out) + s[at:]
-                parts.append((len(offs) - 1, new))
-            if any(new for _, new in parts):
-                values, base = column.to_pylist(), 0
-                for n, new in parts:
-                    for text, s in new.items():
-                        values[base + text] = s
-                    base += n
-                column = pa.array(values, column.type)
-            yield pa.RecordBatch.from_arrays([column if c == text_col else whole.column(c) for c in columns], columns)
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("string")
+    def clean(text: pa.Array) -> pa.Array:
+        """The new text of those that change, null for the others."""
+        values: list = []
+        for _, data, offs in text_batches([pa.RecordBatch.from_arrays([text], ["text"])]):
+            new: list = [None] * (len(offs) - 1)
+            spans = found(data, offs)
+            raw = data.tobytes() if spans else b""
+            for at_text, own in spans.items():
+                s, out, at = raw[offs[at_text] : offs[at_text + 1]].decode("utf-8", "replace"), [], 0
+                for a, b, _ in own:
+                    if a >= at:
+                        out += [s[at:a], mark]
+                    at = max(at, b)
+                new[at_text] = "".join(out) + s[at:]
+            values += new
+        return pa.array(values, pa.string())
+
+    return docs.withColumn(text_col, F.coalesce(clean(F.coalesce(F.col(text_col), F.lit(""))), F.col(text_col)))
