@@ -5,8 +5,8 @@ one code word per half of the (randomly turned) space, so a vector finds all fil
 it takes its products with the few code words of each half, and lists the combinations that reach the threshold. Vectors
 are joined on filters; a pair is verified by its cosine in double precision, in the first filter that both share only.
 
-The threshold follows the number of vectors, so that a filter holds about PER_FILTER of them; the code size follows the
-threshold, so that two vectors at the link's cosine share SHARED filters of each of CODES codes on average. Filters with more than CHUNK vectors
+The threshold follows the number of vectors, so that a filter holds about PER_FILTER of them, by the exact tail of the
+sphere in that many dimensions (a Gaussian tail is heavier); the code size follows the threshold, so that two vectors at the link's cosine share SHARED filters of each of CODES codes on average. Filters with more than CHUNK vectors
 are split into pairs of chunks.
 
 Defined results: vectors that are null, of another length than the commonest, zero or not finite have no links, their
@@ -17,7 +17,6 @@ other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,16 @@ PER_FILTER = 48
 CODES = 4
 SHARED = 6
 CHUNK = 512
-NORMAL = NormalDist()
+#: Narrower vectors are filled up: few dimensions split unevenly in halves, and no sum of two code words is near such a vector.
+LEAST_HALF = 8
+
+
+def sphere_tail(dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(angle, share): angles on a grid, and the share of the unit sphere in `dims` dimensions within each of a direction."""
+    angle = np.linspace(0, math.pi, 100_001)
+    weight = np.sin(angle) ** (dims - 2)
+    total = np.concatenate(([0.0], np.cumsum(weight[1:] + weight[:-1])))
+    return angle, total / total[-1]
 
 
 class Code:
@@ -43,21 +51,27 @@ class Code:
 
     def __init__(self, n: int, width: int, cosine: float, seed: int = 11):
         rng = np.random.default_rng(seed)
-        share = min(0.1, PER_FILTER / max(n, 1))
-        t = NORMAL.inv_cdf(1 - share)
-        # P(the second vector exceeds too | the first does), over the first's overshoot
-        sigma = math.sqrt(1 - cosine**2)
-        z = t + (np.arange(400) + 0.5) * 0.01
-        weight = np.exp(-z * z / 2)
-        too = float((weight * [1 - NORMAL.cdf((t - cosine * v) / sigma) for v in z]).sum() / weight.sum())
+        self.half = max(LEAST_HALF, (width + 1) // 2)
+        dims = 2 * self.half
+        # The sum of two code words, shortened to length one, is a random direction, so its products follow the sphere's tail.
+        angle, within = sphere_tail(dims)
+        # A cap narrower than the limit's angle would part most pairs at the limit.
+        share = max(min(0.1, PER_FILTER / max(n, 1)), float(np.interp(math.acos(cosine), angle, within)))
+        cap = float(np.interp(share, within, angle))
+        t = math.cos(cap)
+        # P(the second vector exceeds too | the first does), over the first's angle to the direction
+        v = (np.arange(2000) + 0.5) * cap / 2000
+        weight = np.sin(v) ** (dims - 2)
+        needed = (t - cosine * np.cos(v)) / (math.sqrt(max(1 - cosine**2, 1e-12)) * np.sin(v))
+        beside, share_beside = sphere_tail(dims - 1)
+        too = float((weight * np.where(needed > 1, 0, np.interp(np.arccos(np.clip(needed, -1, 1)), beside, share_beside))).sum() / weight.sum())
         self.words = max(4, math.ceil(math.sqrt(SHARED / too / share)))
-        self.half = (width + 1) // 2
         self.codes = []
         for _ in range(CODES):
-            turn = np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0][:width]  # odd widths are filled up with a zero
+            turn = np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0][:width]  # odd and small widths are filled up with zeros
             halves = [rng.standard_normal((self.half, self.words)) for _ in range(2)]
             self.codes.append((turn, *(c / np.linalg.norm(c, axis=0) for c in halves)))
-        self.threshold = t * math.sqrt(2 / (2 * self.half))
+        self.threshold = t * math.sqrt(2)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that the unit vectors exceed, by row and filter."""

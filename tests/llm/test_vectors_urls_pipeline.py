@@ -42,6 +42,20 @@ def test_caps(spark, chunk):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n,width", [(50_000, 64), (3_000_000, 64), (15_000_000, 64), (3_000_000, 16), (500_000, 255), (50_000, 3)])
+def test_caps_share_filters_at_any_size(n, width):
+    """Pairs at the limit share CODES * SHARED filters on average, and hardly any pair shares none."""
+    rng, m = np.random.default_rng(4), 400
+    x, z = rng.normal(size=(2, m, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    code = caps.Code(n, width, 0.95)
+    (r, f), (s, g) = code.decode(x), code.decode(0.95 * x + np.sqrt(1 - 0.95**2) * z)
+    shared = np.bincount(np.intersect1d(r << 40 | f, s << 40 | g) >> 40, minlength=m)
+    assert shared.mean() > 0.85 * caps.CODES * caps.SHARED and (shared > 0).mean() >= 0.98
+
+
 @pytest.mark.parametrize("scale,chunk", [(False, 20_000), (True, 20_000), (False, 8)])
 def test_neighbours(spark, scale, chunk):
     x, df = vectors(spark, 2, scale=scale)
