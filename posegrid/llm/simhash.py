@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import spread, text_batches, written
 from .components import Forest, components
 
 SHINGLE = 4
@@ -205,16 +205,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Deduplication: five-word shingles, 256 bits. A Jaccard similarity of 0.8 makes 15 % of the bits differ, 39 of 256 on average;
-#: WIDE_BUDGET lies a standard deviation above that. Two such texts agree on all bits of one of WIDE_ROOTS blocks with
-#: probability 1 - (1 - 0.85**ROOT_BITS)**WIDE_ROOTS, 0.97 here, and more the more alike they are.
+#: Deduplication links texts whose sets of five-word shingles have a Jaccard similarity of ALIKE or more. Candidates are found by
+#: fingerprints of 256 bits: at that similarity 15 % of the bits differ, 19 % where a set of four lies in one of five. WIDE_BUDGET
+#: lies about four standard deviations above the latter's mean of 48. Two such texts agree on all bits of one of WIDE_ROOTS
+#: blocks with probability 1 - (1 - 0.85**ROOT_BITS)**WIDE_ROOTS, 0.9999 here (0.996 with 19 %), and more the more alike they are.
 WIDE_SHINGLE = 5
 WIDE_WORDS = 4
-WIDE_BUDGET = 44
-WIDE_ROOTS = 36
-ROOT_BITS = 14
-#: Budget of the first 64 bits below a root, three standard deviations above the mean at similarity 0.8.
-FIRST_BUDGET = 18
+WIDE_BUDGET = 72
+WIDE_ROOTS = 64
+ROOT_BITS = 12
+#: Budget of the first 64 bits below a root, as many standard deviations above the mean.
+FIRST_BUDGET = 24
+#: (numerator, denominator) of the least similarity.
+ALIKE = (4, 5)
+#: Candidate groups of more texts are dealt as pairs of parts of about so many.
+GROUP = 2048
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -227,19 +232,22 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(words: list[bytes], size: int = WIDE_SHINGLE, wide: int = WIDE_WORDS) -> bytes:
-    """Each of the 64 x wide bits votes over the distinct shingles; 8 x wide bytes. Wordless texts are all zero."""
+def shingle_set(words: list[bytes], size: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a shorter text is one shingle, a wordless one has none."""
     n = len(words)
     if not n:
-        return bytes(8 * wide)
+        return np.zeros(0, np.uint64)
     text, digest = b" ".join(words), xxhash.xxh64_intdigest
     if n <= size:
-        hashes = np.array([digest(text, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: n - size + 1].tolist()
-        hashes = np.unique(np.array([digest(text[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64))
+        return np.array([digest(text, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: n - size + 1].tolist()
+    return np.unique(np.array([digest(text[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, wide: int = WIDE_WORDS) -> bytes:
+    """Each of the 64 x wide bits votes over the distinct shingles; 8 x wide bytes. Wordless texts are all zero."""
     votes = np.zeros((wide, 64), np.int64)
     for lo in range(0, len(hashes), 1 << 14):
         part = hashes[lo : lo + (1 << 14)]
@@ -261,7 +269,7 @@ def _root_bits(roots: int, wide: int) -> np.ndarray:
 
 
 def wide_links(reps: DataFrame, budget: int = WIDE_BUDGET, roots: int = WIDE_ROOTS, wide: int = WIDE_WORDS) -> DataFrame:
-    """Edges (a, b) that connect alike fingerprints; reps: distinct fp (binary) with rep."""
+    """Edges (a, b) that connect the candidates, texts of alike fingerprints; reps: fp (binary) with rep."""
     bits = _root_bits(roots, wide)
 
     def place(batches):
@@ -300,22 +308,96 @@ def wide_links(reps: DataFrame, budget: int = WIDE_BUDGET, roots: int = WIDE_ROO
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest of the sets with a similarity of ALIKE or more.
+
+    Each set that a tree has reached is compared with all sets of a fitting size that none has reached.
+    """
+    num, den = ALIKE
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    items = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(size)
+    start = ends - size
+    mark = np.zeros(int(items.max()) + 1 if len(items) else 1, bool)
+    left, one, other = np.arange(len(order)), [], []
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            lo, hi = np.searchsorted(size[left], [-(-num * size[i] // den), den * size[i] // num + 1])
+            own = left[lo:hi]
+            if not len(own):
+                continue
+            mark[items[start[i] : ends[i]]] = True
+            at = spread(start[own], size[own])
+            both = np.bincount(np.repeat(np.arange(len(own)), size[own])[mark[items[at]]], minlength=len(own))
+            mark[items[start[i] : ends[i]]] = False
+            near = den * both >= num * (size[i] + size[own] - both)
+            if near.any():
+                found = own[near]
+                one.append(np.full(len(found), i))
+                other.append(found)
+                reached += found.tolist()
+                left = np.concatenate((left[:lo], own[~near], left[hi:]))
+    none = np.zeros(0, np.int64)
+    return order[np.concatenate([none, *one])], order[np.concatenate([none, *other])]
+
+
+def alike_links(sets: DataFrame, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) that connect the texts of a candidate group by exact similarity; sets: grp, rep, hashes (binary)."""
+    # At most (texts) / group candidate groups are large.
+    large = sets.groupBy("grp").count().where(F.col("count") > group).select("grp", F.ceil(F.col("count") / group).cast("int").alias("k"))
+    parted = sets.join(written(large), "grp", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    twice = parted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = twice.select("grp", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "rep", "hashes").repartition(parts, "grp", "lo", "hi")
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        grp, lo, hi, rep = (t.column(n).to_numpy() for n in ("grp", "lo", "hi", "rep"))
+        hashes = t.column("hashes")
+        order = np.lexsort((rep, hi, lo, grp))
+        new = np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (grp, lo, hi)], axis=0)))
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist(), strict=True):
+            if b - a < 2:
+                continue
+            own = order[a:b]
+            i, j = alike_pairs([np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in own.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[own[i]], pa.int64()), pa.array(rep[own[j]], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, component_id) of the documents that aren't the least of their group."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch, data, offs in text_batches(batches):
             raw = data.tobytes().lower()
-            fps = [wide_fingerprint(raw[a:b].split()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            sets = [shingle_set(raw[a:b].split()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            packed = [s.tobytes() for s in sets]
+            keys, fps = [xxhash.xxh3_128_digest(s) for s in packed], [wide_fingerprint(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(fps, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "key", "fp", "hashes"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    marked = written(texts.mapInArrow(run, f"doc_id {kind}, fp binary"))
-    reps = written(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("rep")))
-    roots = components(wide_links(reps))
-    home = written(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "rep").alias("component_id")))
-    joined = marked.join(home, F.col("fp") == F.col("fp2"))
+    marked = written(texts.mapInArrow(run, f"doc_id {kind}, key binary, fp binary, hashes binary"))
+    reps = written(marked.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("fp").alias("fp")))
+    found = components(wide_links(reps))
+    # The least text of a group has no row of its own in `found`.
+    grouped = found.select("node", F.col("component").alias("grp")).unionByName(found.select(F.col("component").alias("node"), F.col("component").alias("grp")).distinct())
+    wanted = reps.join(grouped, F.col("rep") == F.col("node")).select(F.col("key").alias("key2"), "rep", "grp")
+    # Repeated rows of the representative have equal sets.
+    sets = written(marked.join(wanted, (F.col("key") == F.col("key2")) & (F.col("doc_id").cast("long") == F.col("rep"))).select("grp", "rep", "key", "hashes").dropDuplicates(["rep", "key"]).drop("key"))
+    roots = components(alike_links(sets, group))
+    home = written(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("key2"), F.coalesce("component", "rep").alias("component_id")))
+    joined = marked.select("doc_id", "key").join(home, F.col("key") == F.col("key2"))
     return written(joined.where("doc_id != component_id").select("doc_id", "component_id").distinct())
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from posegrid.llm import caps, neighbours, url_filter
+from posegrid.llm import caps, neighbours, simhash, url_filter
 from posegrid.llm.queries import URL_RULES
 
 BAD = [(900, None), (901, [0.0] * 16), (902, [1.0]), (903, [float("nan")] * 16), (904, [None] * 16), (None, [1.0] * 16)]
@@ -137,3 +137,51 @@ def test_pipeline(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, data) if none.columns == names else none
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 5])
+def test_near_dedup_is_exact_jaccard(spark, group):
+    """Pairs on both sides of 0.8, sizes from four shingles up: the groups are those of brute force."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(240):
+        n = int(rng.choice([8, 9, 12, 30, 64, 204, 404]))
+        base = [f"w{w}" for w in rng.integers(0, 10**6, n)]
+        texts.append(base)
+        for _ in range(2):
+            other = list(base)
+            if n < 12 or k % 4 == 0:
+                other = base[: int(n - rng.integers(1, max(2, n // 4)))]  # a beginning of it
+            else:
+                cut = int(n * rng.uniform(0.05, 0.2))
+                other[n - cut :] = [f"v{w}" for w in rng.integers(0, 10**6, cut)]  # another end
+            texts.append(other)
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root, close = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i // 3 * 3, i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            close += 0.65 <= both / all_ < 0.8
+            if 5 * both >= 4 * all_:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.duplicate_groups(df, group=group).collect()}
+    want = {i: r for i, r in enumerate(root) if i != r}
+    assert close > 40 and len(want) > 100
+    assert not [i for i in got if want.get(i) != got[i]]
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_alike_pairs_against_brute_force():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(14, rng.integers(0, 14), replace=False).astype(np.uint64)) for _ in range(300)]
+    root = list(range(len(sets)))
+    for i, j in zip(*map(np.ndarray.tolist, simhash.alike_pairs(sets)), strict=True):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        assert 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)
+        root = [root[i] if r == root[j] else r for r in root]
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert root[i] == root[j] or 5 * both < 4 * (len(sets[i]) + len(sets[j]) - both)
