@@ -33,7 +33,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the least id stays, of its rows one; rows without an id stay."""
+    """Of each group the least id stays, with all its rows, repeated ones too; rows without an id stay and are not compared."""
     return simhash.deduplicated(docs)
 
 
