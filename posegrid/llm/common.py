@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import re
 import tempfile
 import uuid
@@ -70,11 +69,13 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder. Only a session in one JVM may name none; then it is a temporary folder."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     path = spark.conf.get("spark.checkpoint.dir", None) or (set_dir.get() if set_dir.isDefined() else None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="posegrid-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -87,31 +88,32 @@ def _drop(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Lets Spark delete the shuffle files of a query as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/posegrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
-def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing will read again, and lets Spark's cleaner drop the shuffle files of finished jobs."""
+def released(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
     for t in tables:
-        _drop(spark, t.written_to)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size; for file scans it follows the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        _drop(t.sparkSession, t.written_to)
 
 
-def reads_files(df: DataFrame) -> bool:
-    """Whether df is a plain scan of files with projections and filters, whose partitions are the same in every run."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return "FileScan" in plan and not re.search(r"Exchange|Join|Aggregate|Union|Python|Pandas|Arrow|InMemory|ExistingRDD|Sample|Window", re.sub(r"FileScan.*", "FileScan", plan))
+def parts_for(spark: SparkSession, rows: int, at_once: int) -> int:
+    """Partitions so that about `at_once` rows meet in a task, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // at_once))

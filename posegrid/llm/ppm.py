@@ -6,9 +6,12 @@ its first byte, whose probabilities are divided among the symbols that the longe
 exclusion by renormalisation). Below the empty context all 256 bytes are equally likely. 0xFF, which no UTF-8 text holds,
 stands before a text as often as a context is long and ends it; the end is a symbol like the others. Texts are lower-cased in A-Z.
 
-Neither the trie nor the vocabulary is broadcast. Documents are dealt into blocks; a first pass over each block counts its
-words and contexts; the counts are added up over all blocks; each block gets back the rows of the words and contexts that occur in it, and
-scores its documents with them. A block is a partition of the file scan. Everything grows with the input and is bounded by a block's size in each task.
+Neither the trie nor the vocabulary is held in one place. Documents are dealt into blocks of about BLOCK_BYTES, written with the
+number of their block. Each block's distinct words and windows (a context and its symbol) go to shards: words by their hash, windows by
+the last bytes of their context, so that a shard holds whole subtrees of the trie. Shards add the counts up over all blocks, work out the
+probability of every window that occurs, and return to each block what its words and windows are worth. Contexts of LOW
+bytes and less, 256 ** (LOW + 1) windows at most, are broadcast. Shards are as many as the text asks for; a window shard with over
+HOT entries is added up and looked up in parts, so every task is bounded however large the input is.
 
 Defined results: null text is empty: one end token, and one end symbol after the start context; texts are read whole;
 repeated rows are each counted and scored; a null id's remainder is that of the empty text; without training documents all counts are zero (base
@@ -17,21 +20,32 @@ score as the formula gives it, model score uniform); other columns are ignored;
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bytes_of, chunks, reads_files, released, written
+from .common import bytes_of, chunks, parts_for, released, text_batches, written
 
 ORDER = 5
+#: Contexts of so many bytes and less are broadcast.
+LOW = 2
 EDGE = 0xFF
-#: Stands for the end token; words hold no white space.
-END_WORD = b" "
 SCORE_BYTES = 2 << 20
+#: Text of a block, and for each shard.
+BLOCK_BYTES = 12 << 20
+SHARD_BYTES = 16 << 20
+LEAST_SHARDS = 64
+#: Entries of a window shard that one task adds up.
+HOT = 4_000_000
+TEXT, WORDS, WINDOWS, SHORT = range(4)
 
 
 def symbols(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +100,25 @@ def found(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == wanted
 
 
+def counted_levels(seq: np.ndarray, count: np.ndarray, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(contexts, symbols, counts) of the levels low..high, from distinct windows of high + 1 bytes."""
+    out = []
+    for k in range(high, low - 1, -1):
+        seq, count = _summed([(seq & ((1 << (8 * (k + 1))) - 1), count)])
+        out.append((seq >> 8, seq & 255, count))
+    return out[::-1]
+
+
 class Trie:
-    """levels[k]: (contexts of k bytes, symbols, counts); a level holds every symbol of each context it has."""
+    """levels[k]: (contexts of k bytes, symbols, counts); a level holds every symbol of each context it has.
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.levels = [Level(*x) for x in levels]
-        for k, level in enumerate(self.levels):
-            level.exclude(self.levels[k - 1] if k else None, k)
+    below: the finished levels of the shortest contexts, where `levels` begins above them.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], below: list[Level] = ()):
+        self.levels = [*below, *(Level(*x) for x in levels)]
+        for k in range(len(below), len(self.levels)):
+            self.levels[k].exclude(self.levels[k - 1] if k else None, k)
 
     def probability(self, seq: np.ndarray) -> np.ndarray:
         """Of the last byte of each window after the bytes before it. Every level looks at each of its windows once, in order."""
@@ -111,26 +137,6 @@ class Trie:
         return p
 
 
-def _count(words: Counter, more: Counter, codes: list, table, order: int) -> None:
-    """Adds a table of documents (text, train) to the words of training documents, those of others, and the windows."""
-    data, offs = bytes_of(table.column("text"))
-    raw = data.tobytes().lower()
-    train = np.asarray(table.column("train").combine_chunks() if isinstance(table.column("train"), pa.ChunkedArray) else table.column("train"))
-    for a, b, own in zip(offs[:-1].tolist(), offs[1:].tolist(), train.tolist(), strict=True):
-        to = words if own else more
-        to.update(raw[a:b].split())
-        to[END_WORD] += 1
-    low = np.frombuffer(raw, np.uint8)
-    for lo, hi in chunks(np.diff(offs), SCORE_BYTES):
-        part = offs[lo : hi + 1] - offs[lo]
-        seq, starts = symbols(low[offs[lo] : offs[hi]], part, order)
-        at, unique = pd.factorize(seq)
-        mine = np.repeat(train[lo:hi], np.diff(part) + 1)
-        codes.append((unique, np.bincount(at[mine], minlength=len(unique))))
-        if len(codes) > 8:
-            codes[:] = [_summed(codes)]
-
-
 def _summed(codes: list) -> tuple[np.ndarray, np.ndarray]:
     unique = np.concatenate([u for u, _ in codes]) if codes else np.zeros(0, np.int64)
     at, unique = pd.factorize(unique)
@@ -138,103 +144,260 @@ def _summed(codes: list) -> tuple[np.ndarray, np.ndarray]:
     return unique.astype(np.int64), n.astype(np.int64)
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def _cut(keys: np.ndarray, n: np.ndarray, shard: np.ndarray):
+    """(shard, keys, n) of each shard that occurs; the order within a shard is kept."""
+    if not len(shard):
+        return
+    order = np.argsort(shard, kind="stable")
+    keys, n, shard = keys[order], n[order], shard[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(shard)).tolist(), strict=True):
+        yield int(shard[a]), keys[a:b], n[a:b]
+
+
+class Block:
+    """Words and windows of a block's documents, with their counts in the training documents."""
+
+    def __init__(self, order: int):
+        self.order, self.words, self.others, self.codes, self.size = order, Counter(), set(), [], 0
+
+    def add(self, data: np.ndarray, offs: np.ndarray, train: np.ndarray) -> None:
+        raw = data.tobytes().lower()
+        for a, b, own in zip(offs[:-1].tolist(), offs[1:].tolist(), train.tolist(), strict=True):
+            self.words.update(raw[a:b].split()) if own else self.others.update(raw[a:b].split())
+        seq, _ = symbols(np.frombuffer(raw, np.uint8), offs, self.order)
+        at, unique = pd.factorize(seq)
+        mine = np.repeat(train, np.diff(offs) + 1)
+        self.codes.append((unique, np.bincount(at if mine.all() else at[mine], minlength=len(unique))))
+        if len(self.codes) > 8:
+            self.codes = [_summed(self.codes)]
+        self.size += len(raw)
+
+    def rows(self, shards: int):
+        """(kind, shard, keys, n) with n as 32-bit counts."""
+        words = [*self.words, *(w for w in self.others if w not in self.words)]
+        n = np.zeros(len(words), np.uint32)
+        n[: len(self.words)] = np.fromiter(self.words.values(), np.int64, len(self.words))
+        home = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+        for shard, which, count in _cut(np.arange(len(words)), n, home):
+            yield WORDS, shard, b"\n".join([words[i] for i in which.tolist()]), count
+        seq, n = _summed(self.codes)
+        for shard, keys, count in _cut(seq, n.astype(np.uint32), _home(seq, min(LOW + 1, self.order), shards)):
+            yield WINDOWS, shard, keys.tobytes(), count
+        known = n > 0
+        short, n = _summed([(seq[known] & ((1 << (8 * (min(LOW, self.order) + 1))) - 1), n[known])])
+        for shard, keys, count in _cut(short, n.astype(np.uint32), _home(short, min(LOW, self.order), LEAST_SHARDS)):
+            yield SHORT, shard, keys.tobytes(), count
+
+
+def _home(seq: np.ndarray, length: int, shards: int) -> np.ndarray:
+    """Shard of the last `length` bytes of each window's context."""
+    suffix = (seq >> 8).astype(np.uint64) & np.uint64((1 << (8 * length)) - 1)
+    return ((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % shards
+
+
+def _by_shard(batches, names: list[str]):
+    """(key, rows) for each run of equal keys; rows as an iterator, to be read before the next key. names: the key's columns."""
+
+    def each():
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            keys = [np.asarray(batch.column(n)).tolist() for n in names]
+            for i, key in enumerate(zip(*keys, strict=True)):
+                yield key, [c[i] for c in columns]
+
+    for key, rows in groupby(each(), key=lambda r: r[0]):
+        yield key, (r for _, r in rows)
+
+
+def _ints(value, kind) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _added(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of rows (.., keys, n): distinct windows and counts, a bounded number of rows at a time."""
+    held: list = []
+    total = pending = 0
+    for r in rows:  # n has 32 bits in a block, 64 in a sum
+        held.append((_ints(r[-2], np.int64), _ints(r[-1], np.int64 if len(r[-1].as_buffer()) == len(r[-2].as_buffer()) else np.uint32)))
+        pending += len(held[-1][0])
+        if pending > max(2 * total, 1_000_000):
+            held = [_summed(held)]
+            total, pending = len(held[0][0]), 0
+    return _summed(held)
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    low = min(LOW, order)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"))
-    if not reads_files(texts):
-        texts = written(texts)
-    # A scan deals its files the same way each time, so a partition's number names its rows in both passes.
-    texts = texts.withColumn("block", F.spark_partition_id())
+    facts = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("ends")).first()
+    shards, ends = max(LEAST_SHARDS, -(-facts["bytes"] // SHARD_BYTES)), facts["ends"]
+    parts = parts_for(spark, facts["bytes"], SHARD_BYTES)
+    schema = f"kind int, shard int, block long, size long, keys binary, n binary, doc_id {kind}, text string, train boolean"
 
     def count(batches):
-        held: dict[int, tuple] = {}
-        for batch in batches:
-            blocks = np.asarray(batch.column("block"))
-            for block in np.unique(blocks).tolist():
-                own = held.setdefault(block, (Counter(), Counter(), []))
-                _count(*own, batch.filter(pa.array(blocks == block)) if (blocks != block).any() else batch, order)
-        for block, (words, more, codes) in held.items():
-            keys = [*words, *(w for w in more if w not in words)]
-            n = [words.get(w, 0) for w in keys]
-            seq, times = _summed(codes)
-            order_ = np.argsort(seq)  # sorted, it takes less space
-            seq, times = seq[order_], times[order_]
-            for lo in range(0, len(keys), 100_000):
-                k = keys[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(k, pa.binary()), pa.nulls(len(k), pa.int64()), pa.array(n[lo : lo + 100_000], pa.int64())], names)
-            for lo in range(0, len(seq), 100_000):
-                yield from rows(1, block, seq[lo : lo + 100_000], times[lo : lo + 100_000])
-            context = seq >> 8
-            for k in range(order, -1, -1):
-                # kind 2 + k: contexts of k bytes that occur in the block
-                context = np.unique(context & ((1 << (8 * k)) - 1))
-                for lo in range(0, len(context), 100_000):
-                    c = context[lo : lo + 100_000]
-                    yield from rows(2 + k, block, c, np.zeros(len(c), np.int64))
-
-    def rows(kind, block, seq, n):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seq), kind, np.int32)), pa.array(np.full(len(seq), block, np.int32)), pa.nulls(len(seq), pa.binary()), pa.array(seq), pa.array(n)], names)
-
-    names = ["kind", "block", "word", "seq", "n"]
-    counted = written(texts.mapInArrow(count, "kind int, block int, word binary, seq long, n long"))
-    spark = docs.sparkSession
-    # A word has one row per block at most.
-    same = Window.partitionBy("word")
-    words = counted.where("kind = 0").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("once"))
-    words = written(words)
-    facts = words.where("once").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    all_tokens, distinct = int(facts["n"]), int(facts["v"])
-
-    longest = written(counted.where("kind = 1 AND n > 0").groupBy("seq").agg(F.sum("n").alias("n")))
-    known_contexts = None
-    for k in range(order, -1, -1):
-        mask = F.lit((1 << (8 * k)) - 1)
-        entry = longest.groupBy(F.shiftright("seq", 8).bitwiseAND(mask).alias("context"), F.col("seq").bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n"))
-        # A context has 256 symbols at most.
-        own = entry.groupBy("context").agg(F.sort_array(F.collect_list(F.struct("sym", "n"))).alias("next"))
-        own = own.select(F.lit(k).alias("k"), "context", F.flatten(F.transform("next", lambda s: F.array(s["sym"], s["n"]))).alias("counts"))
-        known_contexts = own if known_contexts is None else known_contexts.unionByName(own)
-    asked = counted.where("kind >= 2").select("block", (F.col("kind") - 2).alias("k"), F.col("seq").alias("context"))
-    given = written(asked.join(known_contexts, ["k", "context"]).select("block", "k", "context", "counts"))
-    released(spark, counted, longest)
-    side = words.select("block", F.lit(-1).alias("k"), F.col("word").alias("key"), F.col("c").alias("n")).unionByName(given.select("block", "k", F.col("context").alias("n"), "counts"), allowMissingColumns=True)
+        """The documents with the number of their block, and the block's words and windows."""
+        part, number, block = TaskContext.get().partitionId(), 0, Block(order)
+
+        def filled(columns: dict, n: int):
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+        def closed():
+            rows, held = [], 0
+            for r in block.rows(shards):
+                rows.append(r)
+                held += len(r[2])
+                if held > 4 << 20:
+                    yield blobs(rows)
+                    rows, held = [], 0
+            if rows:
+                yield blobs(rows)
+
+        def blobs(rows):
+            n = len(rows)
+            return filled({"kind": pa.array([r[0] for r in rows]), "shard": pa.array([r[1] for r in rows]), "block": pa.array([(part << 24) + number] * n), "size": pa.array([len(r[3]) for r in rows]), "keys": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3].tobytes() for r in rows], pa.binary())}, n)
+
+        for batch, data, offs in text_batches(batches, limit=SCORE_BYTES):
+            own = batch.column("train")
+            n = batch.num_rows
+            yield filled({"kind": pa.array(np.full(n, TEXT)), "block": pa.array(np.full(n, (part << 24) + number)), **{c: batch.column(c) for c in ("doc_id", "text", "train")}}, n)
+            block.add(data, offs, np.asarray(own.fill_null(False)).astype(bool))
+            if block.size >= block_bytes:
+                yield from closed()
+                number, block = number + 1, Block(order)
+        if block.codes:
+            yield from closed()
+
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    counted = written(texts.mapInArrow(count, schema))
+
+    def word_counts(batches):
+        """To each block the counts of its words over all blocks, and the tokens and distinct words of the shard."""
+        for (shard,), rows in _by_shard(batches, ["shard"]):
+            own = [(r[1], r[2], r[2].as_py().split(b"\n"), _ints(r[3], np.uint32)) for r in rows]
+            total: dict = {}
+            for _, _, words, n in own:
+                for w, c in zip(words, n.tolist(), strict=True):
+                    total[w] = total.get(w, 0) + c
+            all_ = np.fromiter(total.values(), np.int64, len(total))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([int(all_.sum())], pa.int64()), pa.array([int((all_ > 0).sum())], pa.int64())], names)
+            for block, keys, words, _ in own:
+                values = np.fromiter(map(total.__getitem__, words), np.int64, len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([keys.as_py()], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+
+    names = ["block", "keys", "worth", "tokens", "distinct"]
+    rows = counted.where(F.col("kind") == WORDS).select("shard", "block", "keys", "n")
+    words = written(rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(word_counts, "block long, keys binary, worth binary, tokens long, distinct long"))
+    found_ = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
+    all_tokens, distinct = found_["n"] + ends, found_["v"] + (ends > 0)
+
+    def added(batches):
+        """Sums by the first column, or the first two."""
+        for key, rows in _by_shard(batches, ["shard", "salt"]):
+            seq, n = _added(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([seq.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["shard", "keys", "n"])
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(added, "shard int, keys binary, n binary")
+
+    # 256 ** (low + 1) windows at most.
+    short = summed(counted.where(F.col("kind") == SHORT).select("shard", F.lit(0).alias("salt"), "keys", "n")).select("keys", "n").collect()
+    seqs = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["n"], np.int64)) for r in short]
+    below = spark.sparkContext.broadcast(Trie(counted_levels(*_summed(seqs), 0, low)).levels)
+
+    windows = counted.where(F.col("kind") == WINDOWS).select("shard", "block", "size", "keys", "n")
+    # At most (entries of all blocks) / hot shards are split.
+    crowded = written(windows.groupBy("shard").agg(F.sum("size").alias("size")).where(F.col("size") > hot).select("shard", F.ceil(F.col("size") / hot).cast("int").alias("k")))
+    salted = windows.withColumn("salt", F.lit(0))
+    split = not crowded.isEmpty()
+    if split:
+        salted = windows.join(crowded, "shard", "left").withColumn("salt", F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("block"), F.col("k")).cast("int")))
+        totals = written(summed(salted.select("shard", "salt", "keys", "n"))).select("shard", F.lit(0).alias("salt"), "keys", "n")
+    else:
+        totals = salted.select("shard", "salt", "keys", "n")
+
+    def model(batches):
+        """The log10 probability of every window of a shard, in the order of the windows."""
+        for (shard, _), rows in _by_shard(batches, ["shard", "salt"]):
+            seq, n = _added(rows)
+            at = np.argsort(seq)
+            seq, n = seq[at], n[at]
+            known = n > 0
+            trie = Trie(counted_levels(seq[known], n[known], low + 1, order), below.value)
+            worth = np.concatenate([np.log10(trie.probability(seq[a : a + (1 << 20)])) for a in range(0, len(seq), 1 << 20)])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq.tobytes()], pa.binary()), pa.array([worth.tobytes()], pa.binary())], ["shard", "keys", "worth"])
+
+    models = written(totals.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(model, "shard int, keys binary, worth binary"))
+    if split:
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))
+        placed = models.join(crowded, "shard", "left").select("shard", salts.alias("salt"), "keys", "worth")
+    else:
+        placed = models.withColumn("salt", F.lit(0))
+    asked = placed.select("shard", "salt", F.lit(None).cast("long").alias("block"), "keys", "worth").unionByName(salted.select("shard", "salt", "block", "keys"), allowMissingColumns=True)
+
+    def answer(batches):
+        """To each block what its windows are worth; a shard's model sorts before the blocks that ask."""
+        for _, rows in _by_shard(batches, ["shard", "salt"]):
+            first = next(rows)
+            seq, worth = _ints(first[3], np.int64), _ints(first[4], np.float64)
+            for r in rows:
+                own = worth[np.searchsorted(seq, _ints(r[3], np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[2].as_py()], pa.int64()), pa.array([r[3].as_py()], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["block", "keys", "worth"])
+
+    ordered = asked.select("shard", "salt", "block", "keys", "worth").repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("block"))
+    answers = written(ordered.mapInArrow(answer, "block long, keys binary, worth binary"))
+    released(models)
+    told = words.where("block IS NOT NULL").select("block", F.lit(0).alias("role"), "keys", "worth").unionByName(answers.select("block", F.lit(1).alias("role"), "keys", "worth"))
+    asking = counted.where(F.col("kind") == TEXT).select("block", F.lit(2).alias("role"), "doc_id", "text", "train")
     floor = all_tokens + 0.5 * (distinct + 1)
 
-    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        k = right.column("k").to_numpy()
-        if not left.num_rows:
-            return pa.table({"doc_id": left.column("doc_id"), **{n: pa.array([], t) for n, t in kinds}})
-        tokens = right.filter(pa.array(k == -1))
-        c_of = dict(zip(tokens.column("key").to_pylist(), tokens.column("n").to_pylist(), strict=True))
-        del tokens
-        levels = []
-        for length in range(order + 1):
-            own = right.filter(pa.array(k == length))
-            lists = own.column("counts").combine_chunks()
-            flat = np.asarray(lists.flatten(), np.int64).reshape(-1, 2)
-            sizes = np.diff(np.asarray(lists.offsets)) // 2
-            levels.append((np.repeat(own.column("n").to_numpy(), sizes), flat[:, 0], flat[:, 1]))
-        trie = Trie(levels)
-        left = left.combine_chunks()
-        data, offs = bytes_of(left.column("text"))
-        low = np.frombuffer(data.tobytes().lower(), np.uint8)
-        n_tokens, n_known, base, score_ = [], [], [], []
-        end = c_of.get(END_WORD, 0)
-        for lo, hi in chunks(np.diff(offs), SCORE_BYTES):
-            part = offs[lo : hi + 1] - offs[lo]
-            own = low[offs[lo] : offs[hi]]
-            seq, starts = symbols(own, part, order)
-            at, unique = pd.factorize(seq)
-            score_.append(np.add.reduceat(np.log10(trie.probability(unique.astype(np.int64)))[at], starts))
-            raw = own.tobytes()
-            for a, b in zip(part[:-1].tolist(), part[1:].tolist(), strict=True):
-                c = np.array([*map(c_of.__getitem__, raw[a:b].split()), end], float)
-                n_tokens.append(len(c))
-                n_known.append(int((c > 0).sum()))
-                base.append(float(np.log10((c + 0.5) / floor).sum()))
-        return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(base), all_tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score_), pa.float64())})
-
-    kinds = [("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+    def rate(batches):
+        """A block's words, then its windows, then its documents."""
+        at, counts, held, table = None, {}, [], None
+        for batch in batches:
+            block, role = np.asarray(batch.column("block")), np.asarray(batch.column("role"))
+            cuts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (role[1:] != role[:-1])))) if len(block) else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(block)).tolist(), strict=True):
+                own = batch.slice(a, b - a)
+                if block[a] != at:
+                    at, counts, held, table = block[a], {}, [], None
+                if role[a] == 0:
+                    for keys, worth in zip(own.column("keys").to_pylist(), own.column("worth"), strict=True):
+                        counts.update(zip(keys.split(b"\n"), _ints(worth, np.int64).tolist(), strict=True))
+                elif role[a] == 1:
+                    held += [(_ints(k, np.int64).copy(), _ints(w, np.float64).copy()) for k, w in zip(own.column("keys"), own.column("worth"), strict=True)]
+                else:
+                    if table is None:
+                        seq = np.concatenate([k for k, _ in held])
+                        by = np.argsort(seq)
+                        table, held = (seq[by], np.concatenate([w for _, w in held])[by]), []
+                    for part, data, offs in text_batches([own], limit=SCORE_BYTES):
+                        yield scored(part, data, offs, counts, *table)
+
+    def scored(part, data, offs, counts, keys, worth):
+        raw = data.tobytes().lower()
+        low_, n = np.frombuffer(raw, np.uint8), part.num_rows
+        seq, starts = symbols(low_, offs, order)
+        which, unique = pd.factorize(seq)
+        score_ = np.add.reduceat(worth[np.searchsorted(keys, unique)][which], starts)
+        split_ = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        sizes = np.fromiter(map(len, split_), np.int64, n)
+        c = np.zeros(int(sizes.sum()) + n)
+        last = np.cumsum(sizes + 1) - 1
+        is_word = np.ones(len(c), bool)
+        is_word[last] = False
+        c[is_word] = np.fromiter(map(counts.__getitem__, chain.from_iterable(split_)), np.int64, int(sizes.sum()))
+        c[last] = ends
+        first = last - sizes
+        base = np.add.reduceat(np.log10((c + 0.5) / floor), first)
+        known = np.add.reduceat((c > 0).astype(np.int64), first)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("train"), pa.array(sizes + 1), pa.array(known), pa.array(np.full(n, all_tokens, np.int64)), pa.array(base), pa.array(score_)], ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     out = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(rate, out)
+    both = told.unionByName(asking, allowMissingColumns=True).select("block", "role", "keys", "worth", "doc_id", "text", "train")
+    blocks = parts_for(spark, facts["bytes"], block_bytes)
+    # A block's number is its partition's in the first pass and its place there; both deal it out evenly.
+    home = F.pmod(F.shiftright("block", 24) * 7919 + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), F.lit(blocks)).cast("int")
+    return both.repartitionById(blocks, home).sortWithinPartitions("block", "role").mapInArrow(rate, out)

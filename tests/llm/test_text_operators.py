@@ -172,6 +172,52 @@ def test_ppm_is_a_distribution_with_exclusion():
     assert p[ord("c")] == pytest.approx(0.25) and p[255] == pytest.approx(0.25)
 
 
+def plain_ppm(train: list[bytes], texts: list[bytes], order: int) -> list[float]:
+    """log10 probability of each text, symbol by symbol, from dictionaries of counts."""
+    edge = b"\xff"
+    counts: dict = {}
+    for t in train:
+        padded = edge * order + t.lower() + edge
+        for at in range(order, len(padded)):
+            for k in range(order + 1):
+                own = counts.setdefault(padded[at - k : at], Counter())
+                own[padded[at]] += 1
+
+    def probability(context: bytes, symbol: int) -> float:
+        below = (lambda s: probability(context[1:], s)) if context else (lambda s: 1 / 256)
+        own = counts.get(context)
+        if not own:
+            return below(symbol)
+        total = sum(own.values())
+        if symbol in own:
+            return (own[symbol] - 0.5) / total
+        return 0.5 * len(own) / total * below(symbol) / (1 - sum(below(s) for s in own))
+
+    out = []
+    for t in texts:
+        padded = edge * order + t.lower() + edge
+        out.append(sum(math.log10(probability(padded[at - order : at], padded[at])) for at in range(order, len(padded))))
+    return out
+
+
+@pytest.mark.parametrize("order,block_bytes,hot", [(5, 12 << 20, 4_000_000), (5, 300, 20), (2, 300, 20), (0, 1000, 4_000_000)])
+def test_ppm_equals_a_plain_one(spark, order, block_bytes, hot):
+    """Small blocks split the documents, a small `hot` splits the shards."""
+    rng = np.random.default_rng(1)
+    words = ["the", "Then", "there", "abra", "cadabra", "é日", "x", "0", "a" * 40, "\n", "\xa0"]
+    rows = [(i, None if i == 7 else " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(60)] + [(60, "the " * 400), (60, "the " * 400), (None, "Abra")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("block", F.lit("clash")).withColumn("kind", F.lit(1)).withColumn("train", F.lit("x"))
+    own = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
+    texts = [(t or "").encode() for _, t in rows]
+    want = plain_ppm([t for (i, _), t in zip(rows, texts) if own(i)], texts, order)
+    got = ppm.score(df, split_of("doc_id", 5) != 1, order=order, block_bytes=block_bytes, hot=hot).collect()
+    assert Counter((r["doc_id"], r["train"], round(r["score"], 6)) for r in got) == Counter((i, own(i), round(w, 6)) for (i, _), w in zip(rows, want))
+    tokens = Counter(w for (i, _), t in zip(rows, texts) if own(i) for w in [*t.lower().split(), None])
+    assert {r["train_tokens"] for r in got} == {sum(tokens.values())}
+    known = Counter((i, len(t.split()) + 1, sum(tokens[w] > 0 for w in t.lower().split()) + 1) for (i, _), t in zip(rows, texts))
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"]) for r in got) == known
+
+
 def test_ppm_without_training(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in ppm.score(df, F.lit(False)).collect()}
