@@ -117,3 +117,13 @@ def released(*tables: DataFrame) -> None:
 def parts_for(spark: SparkSession, rows: int, at_once: int) -> int:
     """Partitions so that about `at_once` rows meet in a task, the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // at_once))
+
+
+def rescannable(df: DataFrame) -> bool:
+    """Whether df is deterministic filters and projections over files, so that `_metadata` names the same rows in every run."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"

@@ -6,8 +6,8 @@ its first byte, whose probabilities are divided among the symbols that the longe
 exclusion by renormalisation). Below the empty context all 256 bytes are equally likely. 0xFF, which no UTF-8 text holds,
 stands before a text as often as a context is long and ends it; the end is a symbol like the others. Texts are lower-cased in A-Z.
 
-Neither the trie nor the vocabulary is held in one place. Documents are dealt into blocks of about BLOCK_BYTES, written with the
-number of their block. Each block's distinct words and windows (a context and its symbol) go to shards: words by their hash, windows by
+Neither the trie nor the vocabulary is held in one place. Documents are dealt into blocks of about BLOCK_BYTES, runs of
+rows of one input file; an input that isn't plain files is written as such first. Each block's distinct words and windows (a context and its symbol) go to shards: words by their hash, windows by
 the last bytes of their context, so that a shard holds whole subtrees of the trie. Shards add the counts up over all blocks, work out the
 probability of every window that occurs, and return to each block what its words and windows are worth. Contexts of LOW
 bytes and less, 256 ** (LOW + 1) windows at most, are broadcast. Shards are as many as the text asks for; a window shard with over
@@ -27,25 +27,23 @@ from itertools import chain, groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bytes_of, chunks, parts_for, released, text_batches, written
+from .common import bytes_of, chunks, parts_for, released, rescannable, text_batches, written
 
-ORDER = 5
+ORDER = 5  # at most: a window is packed into six bytes
 #: Contexts of so many bytes and less are broadcast.
 LOW = 2
 EDGE = 0xFF
 SCORE_BYTES = 2 << 20
 #: Text of a block, and for each shard.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 SHARD_BYTES = 16 << 20
 LEAST_SHARDS = 64
 #: Entries of a window shard that one task adds up.
 HOT = 4_000_000
-TEXT, WORDS, WINDOWS, SHORT = range(4)
+WORDS, WINDOWS, SHORT = range(3)
 
 
 def symbols(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +181,11 @@ class Block:
             yield WORDS, shard, b"\n".join([words[i] for i in which.tolist()]), count
         seq, n = _summed(self.codes)
         for shard, keys, count in _cut(seq, n.astype(np.uint32), _home(seq, min(LOW + 1, self.order), shards)):
-            yield WINDOWS, shard, keys.tobytes(), count
+            yield WINDOWS, shard, packed(keys), count
         known = n > 0
         short, n = _summed([(seq[known] & ((1 << (8 * (min(LOW, self.order) + 1))) - 1), n[known])])
         for shard, keys, count in _cut(short, n.astype(np.uint32), _home(short, min(LOW, self.order), LEAST_SHARDS)):
-            yield SHORT, shard, keys.tobytes(), count
+            yield SHORT, shard, packed(keys), count
 
 
 def _home(seq: np.ndarray, length: int, shards: int) -> np.ndarray:
@@ -210,6 +208,16 @@ def _by_shard(batches, names: list[str]):
         yield key, (r for _, r in rows)
 
 
+def packed(seq: np.ndarray) -> bytes:
+    """Windows of up to six bytes: all their high halves, then all their low ones."""
+    return (seq >> 32).astype(np.uint16).tobytes() + seq.astype(np.uint32).tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    n = len(raw) // 6
+    return (np.frombuffer(raw, np.uint16, n).astype(np.int64) << 32) | np.frombuffer(raw[2 * n :], np.uint32)
+
+
 def _ints(value, kind) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind)
 
@@ -219,8 +227,9 @@ def _added(rows) -> tuple[np.ndarray, np.ndarray]:
     held: list = []
     total = pending = 0
     for r in rows:  # n has 32 bits in a block, 64 in a sum
-        held.append((_ints(r[-2], np.int64), _ints(r[-1], np.int64 if len(r[-1].as_buffer()) == len(r[-2].as_buffer()) else np.uint32)))
-        pending += len(held[-1][0])
+        seq = unpacked(r[-2].as_py())
+        held.append((seq, _ints(r[-1], np.uint32 if len(r[-1].as_buffer()) == 4 * len(seq) else np.int64)))
+        pending += len(seq)
         if pending > max(2 * total, 1_000_000):
             held = [_summed(held)]
             total, pending = len(held[0][0]), 0
@@ -232,17 +241,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     low = min(LOW, order)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), train.alias("train"))
-    facts = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("ends")).first()
+    if not rescannable(texts):
+        texts = written(texts)
+    facts = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), F.count_if("train").alias("ends")).first()
     shards, ends = max(LEAST_SHARDS, -(-facts["bytes"] // SHARD_BYTES)), facts["ends"]
     parts = parts_for(spark, facts["bytes"], SHARD_BYTES)
-    schema = f"kind int, shard int, block long, size long, keys binary, n binary, doc_id {kind}, text string, train boolean"
+    run = max(1, block_bytes * facts["rows"] // max(1, facts["bytes"]))
+    texts = texts.select("*", F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / run)).alias("block"))
 
     def count(batches):
-        """The documents with the number of their block, and the block's words and windows."""
-        part, number, block = TaskContext.get().partitionId(), 0, Block(order)
-
-        def filled(columns: dict, n: int):
-            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+        """Words and windows of each block; a task may see a part of a block only."""
+        at, block = None, Block(order)
 
         def closed():
             rows, held = [], 0
@@ -257,21 +266,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
         def blobs(rows):
             n = len(rows)
-            return filled({"kind": pa.array([r[0] for r in rows]), "shard": pa.array([r[1] for r in rows]), "block": pa.array([(part << 24) + number] * n), "size": pa.array([len(r[3]) for r in rows]), "keys": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3].tobytes() for r in rows], pa.binary())}, n)
-
-        for batch, data, offs in text_batches(batches, limit=SCORE_BYTES):
-            own = batch.column("train")
-            n = batch.num_rows
-            yield filled({"kind": pa.array(np.full(n, TEXT)), "block": pa.array(np.full(n, (part << 24) + number)), **{c: batch.column(c) for c in ("doc_id", "text", "train")}}, n)
-            block.add(data, offs, np.asarray(own.fill_null(False)).astype(bool))
-            if block.size >= block_bytes:
-                yield from closed()
-                number, block = number + 1, Block(order)
+            columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([at] * n, pa.int64()), pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3].tobytes() for r in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "shard", "block", "size", "keys", "n"])
+
+        for whole in batches:
+            home = np.asarray(whole.column("block"))
+            cuts = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))) if len(home) else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(home)).tolist(), strict=True):
+                for batch, data, offs in text_batches([whole.slice(a, b - a)], limit=SCORE_BYTES):
+                    if block.codes and (home[a] != at or block.size >= block_bytes):
+                        yield from closed()
+                        block = Block(order)
+                    at = int(home[a])
+                    block.add(data, offs, np.asarray(batch.column("train").fill_null(False)).astype(bool))
         if block.codes:
             yield from closed()
 
-    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    counted = written(texts.mapInArrow(count, schema))
+    counted = written(texts.mapInArrow(count, "kind int, shard int, block long, size long, keys binary, n binary"))
 
     def word_counts(batches):
         """To each block the counts of its words over all blocks, and the tokens and distinct words of the shard."""
@@ -297,14 +308,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         """Sums by the first column, or the first two."""
         for key, rows in _by_shard(batches, ["shard", "salt"]):
             seq, n = _added(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([seq.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["shard", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([packed(seq)], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["shard", "keys", "n"])
 
     def summed(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(added, "shard int, keys binary, n binary")
 
     # 256 ** (low + 1) windows at most.
     short = summed(counted.where(F.col("kind") == SHORT).select("shard", F.lit(0).alias("salt"), "keys", "n")).select("keys", "n").collect()
-    seqs = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["n"], np.int64)) for r in short]
+    seqs = [(unpacked(r["keys"]), np.frombuffer(r["n"], np.int64)) for r in short]
     below = spark.sparkContext.broadcast(Trie(counted_levels(*_summed(seqs), 0, low)).levels)
 
     windows = counted.where(F.col("kind") == WINDOWS).select("shard", "block", "size", "keys", "n")
@@ -327,7 +338,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             known = n > 0
             trie = Trie(counted_levels(seq[known], n[known], low + 1, order), below.value)
             worth = np.concatenate([np.log10(trie.probability(seq[a : a + (1 << 20)])) for a in range(0, len(seq), 1 << 20)])
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seq.tobytes()], pa.binary()), pa.array([worth.tobytes()], pa.binary())], ["shard", "keys", "worth"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed(seq)], pa.binary()), pa.array([worth.tobytes()], pa.binary())], ["shard", "keys", "worth"])
 
     models = written(totals.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(model, "shard int, keys binary, worth binary"))
     if split:
@@ -341,16 +352,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         """To each block what its windows are worth; a shard's model sorts before the blocks that ask."""
         for _, rows in _by_shard(batches, ["shard", "salt"]):
             first = next(rows)
-            seq, worth = _ints(first[3], np.int64), _ints(first[4], np.float64)
+            seq, worth = unpacked(first[3].as_py()), _ints(first[4], np.float64)
             for r in rows:
-                own = worth[np.searchsorted(seq, _ints(r[3], np.int64))]
+                own = worth[np.searchsorted(seq, unpacked(r[3].as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[2].as_py()], pa.int64()), pa.array([r[3].as_py()], pa.binary()), pa.array([own.tobytes()], pa.binary())], ["block", "keys", "worth"])
 
     ordered = asked.select("shard", "salt", "block", "keys", "worth").repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.asc_nulls_first("block"))
     answers = written(ordered.mapInArrow(answer, "block long, keys binary, worth binary"))
-    released(models)
+    released(counted, models)
     told = words.where("block IS NOT NULL").select("block", F.lit(0).alias("role"), "keys", "worth").unionByName(answers.select("block", F.lit(1).alias("role"), "keys", "worth"))
-    asking = counted.where(F.col("kind") == TEXT).select("block", F.lit(2).alias("role"), "doc_id", "text", "train")
+    asking = texts.select("block", F.lit(2).alias("role"), "doc_id", "text", "train")
     floor = all_tokens + 0.5 * (distinct + 1)
 
     def rate(batches):
@@ -367,7 +378,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     for keys, worth in zip(own.column("keys").to_pylist(), own.column("worth"), strict=True):
                         counts.update(zip(keys.split(b"\n"), _ints(worth, np.int64).tolist(), strict=True))
                 elif role[a] == 1:
-                    held += [(_ints(k, np.int64).copy(), _ints(w, np.float64).copy()) for k, w in zip(own.column("keys"), own.column("worth"), strict=True)]
+                    held += [(unpacked(k.as_py()), _ints(w, np.float64).copy()) for k, w in zip(own.column("keys"), own.column("worth"), strict=True)]
                 else:
                     if table is None:
                         seq = np.concatenate([k for k, _ in held])
@@ -398,6 +409,4 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     out = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     both = told.unionByName(asking, allowMissingColumns=True).select("block", "role", "keys", "worth", "doc_id", "text", "train")
     blocks = parts_for(spark, facts["bytes"], block_bytes)
-    # A block's number is its partition's in the first pass and its place there; both deal it out evenly.
-    home = F.pmod(F.shiftright("block", 24) * 7919 + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), F.lit(blocks)).cast("int")
-    return both.repartitionById(blocks, home).sortWithinPartitions("block", "role").mapInArrow(rate, out)
+    return both.repartition(blocks, "block").sortWithinPartitions("block", "role").mapInArrow(rate, out)
