@@ -10,7 +10,8 @@ sphere in that many dimensions (a Gaussian tail is heavier); the code size follo
 are split into pairs of chunks.
 
 Defined results: vectors that are null, of another length than the commonest, zero or not finite have no links, their
-own id as component, and are kept. Equal vectors are one node with a weight; null ids take no part and get nulls;
+own id as component, and are kept. Equal vectors are one node with a weight, under whatever ids; rows of one id
+with different vectors are nodes of their own; null ids take no part and get nulls;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_parts, parts_for, released, starts_of, whole_groups, written
 from .components import Forest, components
-from .vectors import from_bytes, matrix, takes_part, to_bytes, width_of
+from .vectors import exact_kind, from_bytes, matrix, takes_part, to_bytes, width_of
 
 COSINE = 0.95
 PER_FILTER = 48
@@ -34,6 +35,9 @@ PER_FILTER = 48
 CODES = 4
 SHARED = 6
 CHUNK = 512
+ROWS_A_TASK = 150_000
+#: Bytes of products with a code's words that are held at a time.
+DECODE_BYTES = 16 << 20
 #: Narrower vectors are filled up: few dimensions split unevenly in halves, and no sum of two code words is near such a vector.
 LEAST_HALF = 8
 
@@ -126,50 +130,51 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     if not width:
         return base.select("vec_id", *alone)
     valid = takes_part("v", width) & F.col("vec_id").isNotNull()
+    exact = exact_kind(rows, vector_col)
     vectors = written(base.where(valid).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))
-    nodes = written(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")))
+    # The number is fixed by writing it.
+    nodes = written(vectors.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")).withColumn("node", F.monotonically_increasing_id()))
     code = spark.sparkContext.broadcast(Code(nodes.count(), width, cosine))
 
     def filters(batches):
+        step = max(1, min(2000, DECODE_BYTES // (8 * code.value.words)))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 x = matrix(part.column("v"), width)
                 r, f = code.value.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                raw = np.array(to_bytes(x), object)
-                yield pa.RecordBatch.from_arrays([pa.array(f), part.column("rep").take(pa.array(r)), part.column("mult").take(pa.array(r)), pa.array(raw[r], pa.binary())], ["f", "rep", "mult", "x"])
-
-    placed = written(nodes.mapInArrow(filters, "f long, rep long, mult long, x binary"))
-    # At most (rows placed) / chunk filters are crowded.
-    crowded = placed.groupBy("f").count().where(F.col("count") > chunk).select("f", F.ceil(F.col("count") / chunk).cast("int").alias("k"))
-    chunked = placed.join(crowded, "f", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    twice = chunked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = twice.select("f", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "rep", "mult", "x")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "f", "lo", "hi")
+                take = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(f), part.column("node").take(take), part.column("mult").take(take), pa.array(to_bytes(x, exact), pa.binary()).take(take)], ["f", "node", "mult", "x"])
+
+    placed = written(nodes.select("node", "mult", "v").mapInArrow(filters, "f long, node long, mult long, x binary"))
+    keys = ["f", "lo", "hi"]
+    dealt = in_parts(placed, ["f"], "node", chunk).select(*keys, "c", "node", "mult", "x")
+    dealt = dealt.repartition(parts_for(spark, placed.count(), ROWS_A_TASK), *keys).sortWithinPartitions(*keys, "c", "node")
 
     def verify(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        f, lo, hi, c, rep, mult = (t.column(n).to_numpy() for n in ("f", "lo", "hi", "c", "rep", "mult"))
-        x = from_bytes(t.column("x"), width)
-        order = np.lexsort((rep, c, hi, lo, f))
-        f, lo, hi, c, rep, mult, x = f[order], lo[order], hi[order], c[order], rep[order], mult[order], x[order]
+        for t in whole_groups(batches, keys):
+            yield linked(t)
+
+    def linked(t: pa.Table) -> pa.RecordBatch:
+        f, lo, hi, c, name, mult = (t.column(n).to_numpy() for n in ("f", "lo", "hi", "c", "node", "mult"))
+        x = from_bytes(t.column("x"), width, exact)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        ids, node = np.unique(rep, return_inverse=True)
+        ids, node = np.unique(name, return_inverse=True)
         forest, links = Forest(len(ids)), np.zeros(len(ids), np.int64)
         memo: dict[int, np.ndarray] = {}
 
-        def listed(k: int) -> np.ndarray:
-            """All filters of row k."""
-            got = memo.get(int(node[k]))
-            if got is None:
-                got = memo[int(node[k])] = code.value.decode(x[k : k + 1])[1]
-            return got
-
-        starts = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        def listed(rows: np.ndarray) -> list[np.ndarray]:
+            """All filters of each row, those that aren't known yet decoded together."""
+            new = rows[[int(node[k]) not in memo for k in rows.tolist()]]
+            step = max(1, DECODE_BYTES // (8 * code.value.words))
+            for at in range(0, len(new), step):
+                r, g = code.value.decode(x[new[at : at + step]])
+                cuts = np.searchsorted(r, np.arange(len(new[at : at + step]) + 1))
+                for i, k in enumerate(new[at : at + step].tolist()):
+                    memo[int(node[k])] = g[cuts[i] : cuts[i + 1]]
+            return [memo[int(node[k])] for k in rows.tolist()]
+
+        starts = starts_of(t, keys)
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(f)).tolist(), strict=True):
             if b - a < 2:
                 continue
@@ -182,8 +187,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 continue
             ui, i2 = np.unique(i, return_inverse=True)
             uj, j2 = np.unique(j, return_inverse=True)
-            cut = lambda k: (own := listed(k))[: np.searchsorted(own, f[a])]  # noqa: E731, B023
-            first = share_none_before([cut(left + k) for k in ui.tolist()], [cut(right + k) for k in uj.tolist()], i2, j2)
+            cut = lambda rows: [own[: np.searchsorted(own, f[a])] for own in listed(rows)]  # noqa: E731, B023
+            first = share_none_before(cut(left + ui), cut(right + uj), i2, j2)
             p, q = left + i[first], right + j[first]
             np.add.at(links, node[p], mult[q])
             np.add.at(links, node[q], mult[p])
@@ -191,12 +196,15 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         some = links > 0
         low, other = forest.links(ids)
         kinds = np.concatenate((np.zeros(int(some.sum()), np.int32), np.ones(len(low), np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate((ids[some], low))), pa.array(np.concatenate((links[some], other)))], ["kind", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate((ids[some], low))), pa.array(np.concatenate((links[some], other)))], ["kind", "a", "b"])
 
     found = written(dealt.mapInArrow(verify, "kind int, a long, b long"))
+    released(placed)
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
-    roots = components(found.where("kind = 1").select("a", "b"))
-    home = nodes.join(links, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    home = written(home.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    joined = vectors.join(home, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    roots = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "member")
+    home = nodes.join(links, F.col("node") == F.col("a"), "left").join(roots, F.col("node") == F.col("member"), "left")
+    home = written(home.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")))
+    least = home.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(home.join(least, "root").select("v", "n_links", "component_id"))
+    joined = vectors.join(named, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return joined.unionByName(base.where(~valid).select("vec_id", *alone))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel turns into numpy arrays at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Bytes of sorted rows that a kernel joins at a time; one larger group of equal keys is taken whole.
+GROUPS_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,9 +116,55 @@ def released(*tables: DataFrame) -> None:
         _drop(t.sparkSession, t.written_to)
 
 
+#: More partitions than this cost the driver more than they help; tasks that stream their groups don't need them.
+MOST_PARTS = 1 << 16
+
+
 def parts_for(spark: SparkSession, rows: int, at_once: int) -> int:
     """Partitions so that about `at_once` rows meet in a task, the session's number at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // at_once))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-rows // at_once)))
+
+
+def in_parts(rows: DataFrame, keys: list[str], by: str, limit: int) -> DataFrame:
+    """rows with c, lo, hi: a group of over `limit` rows is cut into parts c by the hash of `by`, and every two parts meet
+    as the group (keys, lo, hi); other groups are one part. rows is read twice."""
+    # At most (rows) / limit groups are crowded.
+    crowded = written(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("k")))
+    if crowded.isEmpty():
+        return rows.select("*", *(F.lit(0).alias(n) for n in ("c", "lo", "hi")))
+    marked = rows.join(crowded, keys, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64(by), F.col("k")).cast("int"))
+    twice = marked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return twice.withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o")).drop("k", "o")
+
+
+def whole_groups(batches, keys: list[str], size: int = GROUPS_BYTES):
+    """Tables of about `size` bytes, of sorted batches; none begins or ends inside a group of equal keys."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.nbytes
+        if n < size:
+            continue
+        table = pa.Table.from_batches(held)
+        new = starts_of(table, keys)
+        if len(new) > 1:
+            yield table.slice(0, int(new[-1])).combine_chunks()
+            held = table.slice(int(new[-1])).combine_chunks().to_batches()
+            n = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for name in keys:
+        values = table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
 
 
 def rescannable(df: DataFrame) -> bool:

@@ -6,7 +6,9 @@ axes in each table, the candidates there are ranked by their exact inner product
 For vectors of different norms one more component makes the largest inner product the nearest direction.
 
 Queries for which fewer than k rows were found probe every bucket of one table, which is exact. Buckets with over CHUNK rows
-are dealt out in chunks that the queries visit one by one.
+or queries are dealt out in chunks of both; every chunk of queries visits every chunk of rows. Vectors travel in the precision of
+their column. Rows whose norms agree to one in a thousand (their squares to SAME_NORM) are hashed as they are, since the nearest direction then is the largest
+product but for ties within that; other rows get the further component. Results are ranked exactly either way.
 
 Defined results: null, zero and non-finite vectors, those of another length than the commonest, and null ids take no part; ties go to the
 smaller id; of rows with equal ids the best counts; other columns are ignored; an empty table gives no rows.
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .vectors import from_bytes, matrix, takes_part, to_bytes, width_of
+from .common import parts_for, released, starts_of, whole_groups, written
+from .vectors import exact_kind, from_bytes, matrix, takes_part, to_bytes, width_of
 
 #: Reach a recall of 0.95 at k = 20 on unit vectors without structure; clustered ones need less.
 TABLES = 24
 PROBES = 5
 CHUNK = 20_000
+SAME_NORM = 0.998
+ROWS_A_TASK = 150_000
 ROUNDS = 3
 BLOCK = 2048
 
@@ -71,8 +75,9 @@ def nearest(
     facts = vectors.agg(F.count("*").alias("n"), F.max(squares).alias("most"), F.min(squares).alias("least")).first()
     if not facts["n"]:
         return rows.sparkSession.createDataFrame([], out)
-    top = facts["most"] if facts["least"] < 0.998 * facts["most"] else None
-    first = _search(vectors, vectors.where("asks"), k, width, top, tables, probes, chunk)
+    top = facts["most"] if facts["least"] < SAME_NORM * facts["most"] else None
+    exact = exact_kind(rows, vector_col)
+    first = _search(vectors, vectors.where("asks"), k, width, top, tables, probes, chunk, exact)
     asked = vectors.where("asks").select(F.col("vec_id").alias("query_id")).distinct()
     enough = min(k, facts["n"] - 1)
     found = first.groupBy("query_id").count().where(F.col("count") >= enough)
@@ -81,10 +86,10 @@ def nearest(
         return first
     again = vectors.where("asks").join(short, F.col("vec_id") == F.col("query_id"), "left_semi")
     every = 2 * Rotations(width + (top is not None), 1).size
-    return written(first.join(short, "query_id", "left_anti").unionByName(_search(vectors, again, k, width, top, 1, every, chunk)))
+    return written(first.join(short, "query_id", "left_anti").unionByName(_search(vectors, again, k, width, top, 1, every, chunk, exact)))
 
 
-def _search(vectors: DataFrame, asking: DataFrame, k: int, width: int, top: float | None, tables: int, probes: int, chunk: int) -> DataFrame:
+def _search(vectors: DataFrame, asking: DataFrame, k: int, width: int, top: float | None, tables: int, probes: int, chunk: int, exact) -> DataFrame:
     spark = vectors.sparkSession
     turns = Rotations(width + (top is not None), tables)
 
@@ -94,7 +99,7 @@ def _search(vectors: DataFrame, asking: DataFrame, k: int, width: int, top: floa
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
                     x = matrix(part.column("v"), width)
-                    raw = pa.array(to_bytes(x), pa.binary())
+                    raw = pa.array(to_bytes(x, exact), pa.binary())
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                     if top is not None:
                         unit = np.hstack([unit if asks else x, np.zeros((len(x), 1))])
@@ -109,41 +114,45 @@ def _search(vectors: DataFrame, asking: DataFrame, k: int, width: int, top: floa
         return run
 
     kinds = "bucket long, id long, x binary"
-    index = written(vectors.select("vec_id", "v").mapInArrow(placed(False), kinds))
-    asked = asking.select("vec_id", "v").mapInArrow(placed(True), kinds)
-    # At most (rows indexed) / chunk buckets are crowded.
-    crowded = written(index.groupBy("bucket").count().where(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("k")))
+    index = indexed = written(vectors.select("vec_id", "v").mapInArrow(placed(False), kinds))
+    asked = probing = written(asking.select("vec_id", "v").mapInArrow(placed(True), kinds))
+    # At most (rows indexed and asked) / chunk buckets are crowded.
+    sizes = index.select("bucket", F.lit(1).alias("i"), F.lit(0).alias("q")).unionByName(asked.select("bucket", F.lit(0).alias("i"), F.lit(1).alias("q"))).groupBy("bucket").agg(F.sum("i").alias("i"), F.sum("q").alias("q"))
+    crowded = written(sizes.where((F.col("i") > chunk) | (F.col("q") > chunk)).select("bucket", *(F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)).cast("int").alias(f"k{n}") for n in "iq")))
     if crowded.isEmpty():
-        index, asked = index.withColumn("c", F.lit(0)), asked.withColumn("c", F.lit(0))
+        index, asked = (d.select("*", F.lit(0).alias("c"), F.lit(0).alias("d")) for d in (index, asked))
     else:
-        index = index.join(crowded, "bucket", "left").withColumn("c", F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1))).cast("int"))
-        asked = asked.join(crowded, "bucket", "left").withColumn("c", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
-    both = index.select("bucket", "c", F.lit(0).alias("asks"), "id", "x").unionByName(asked.select("bucket", "c", F.lit(1).alias("asks"), "id", "x"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(parts, "bucket", "c")
+        one = F.lit(1)
+        own = lambda n: F.pmod(F.xxhash64("id"), F.coalesce(f"k{n}", one)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(f"k{n}", one) - 1))
+        index = index.join(crowded, "bucket", "left").withColumn("c", own("i")).withColumn("d", every("q"))
+        asked = asked.join(crowded, "bucket", "left").withColumn("d", own("q")).withColumn("c", every("i"))
+    keys = ["bucket", "c", "d"]
+    both = index.select(*keys, F.lit(0).alias("asks"), "id", "x").unionByName(asked.select(*keys, F.lit(1).alias("asks"), "id", "x"))
+    dealt = both.repartition(parts_for(spark, indexed.count(), ROWS_A_TASK), *keys).sortWithinPartitions(*keys, "asks", "id")
 
     def rank(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        bucket, c, asks, ids = (t.column(n).to_numpy() for n in ("bucket", "c", "asks", "id"))
-        x = from_bytes(t.column("x"), width)
-        order = np.lexsort((ids, asks, c, bucket))
-        bucket, c, asks, ids, x = bucket[order], c[order], asks[order], ids[order], x[order]
         best = Best(k)
-        starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (c[1:] != c[:-1]))))
-        for a, b in zip(starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True):
-            m = a + int(np.searchsorted(asks[a:b], 1))
-            for lo in range(m, b, BLOCK):
-                for from_ in range(a, m, BLOCK):
-                    best.add(ids[lo : min(b, lo + BLOCK)], ids[from_ : min(m, from_ + BLOCK)], x[lo : min(b, lo + BLOCK)] @ x[from_ : min(m, from_ + BLOCK)].T)
+        for t in whole_groups(batches, keys):
+            asks, ids = t.column("asks").to_numpy(), t.column("id").to_numpy()
+            x = from_bytes(t.column("x"), width, exact)
+            starts = starts_of(t, keys)
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True):
+                m = a + int(np.searchsorted(asks[a:b], 1))
+                for lo in range(m, b, BLOCK):
+                    for from_ in range(a, m, BLOCK):
+                        best.add(ids[lo : min(b, lo + BLOCK)], ids[from_ : min(m, from_ + BLOCK)], x[lo : min(b, lo + BLOCK)] @ x[from_ : min(m, from_ + BLOCK)].T)
+            if best.size > Best.FULL // 2:
+                yield from best.rows()
+                best = Best(k)
         yield from best.rows()
 
     found = dealt.mapInArrow(rank, "query_id long, vec_id long, score double")
     unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return written(unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    out = written(unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    released(indexed, probing)
+    return out
 
 
 class Best:

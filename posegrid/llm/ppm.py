@@ -36,7 +36,7 @@ ORDER = 5  # at most: a window is packed into six bytes
 #: Contexts of so many bytes and less are broadcast.
 LOW = 2
 EDGE = 0xFF
-SCORE_BYTES = 2 << 20
+SCORE_BYTES = 1 << 20
 #: Text of a block, and for each shard.
 BLOCK_BYTES = 24 << 20
 SHARD_BYTES = 16 << 20
@@ -408,5 +408,5 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     out = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     both = told.unionByName(asking, allowMissingColumns=True).select("block", "role", "keys", "worth", "doc_id", "text", "train")
-    blocks = parts_for(spark, facts["bytes"], block_bytes)
-    return both.repartition(blocks, "block").sortWithinPartitions("block", "role").mapInArrow(rate, out)
+    # Blocks are dealt by hash; four times as many tasks as blocks keep two from meeting often.
+    return both.repartition(parts_for(spark, 4 * facts["bytes"], block_bytes), "block").sortWithinPartitions("block", "role").mapInArrow(rate, out)

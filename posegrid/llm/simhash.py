@@ -13,13 +13,15 @@ are one node; rows with a null id get a null component; ids are integers; repeat
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, text_batches, written
+from .common import in_parts, parts_for, released, spread, starts_of, text_batches, whole_groups, written
 from .components import Forest, components
 
 SHINGLE = 4
@@ -157,42 +159,40 @@ def near_links(reps: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFra
         for s, (slow, swidth) in enumerate(blocks(rest, budget)):
             part = F.shiftrightunsigned(turned, slow).bitwiseAND(F.lit((1 << swidth) - 1))
             under = F.when((F.col("root") == i) & (F.col("sub") == s), part.cast("long")).otherwise(under)
-    spark = reps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.withColumn("under", F.lit(-1).cast("long") if split.isEmpty() else under)
-    dealt = placed.select("root", "block", "sub", "under", "fp", "rep").repartition(parts, "root", "block", "sub", "under")
+    if not split.isEmpty():
+        placed = written(placed)  # read twice by in_parts
+    keys = ["root", "block", "sub", "under"]
+    dealt = in_parts(placed, keys, "fp", hot).select(*keys, "lo", "hi", "fp", "rep")
+    keys += ["lo", "hi"]
+    dealt = dealt.repartition(parts_for(reps.sparkSession, rows.count(), ROWS_A_TASK), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        root, block, sub, below, fp, rep = (table.column(i).to_numpy() for i in range(6))
-        fp = fp.astype(np.int64).view(np.uint64)
-        keys, depth = np.zeros(len(fp), np.uint64), np.zeros(len(fp), np.int64)
-        for i, (low, width) in enumerate(roots):
-            for s in (-1, *range(budget + 1)):
-                own = (root == i) & (sub == s)
-                if not own.any():
-                    continue
-                key, deep = rooted(fp[own], low, width), width
-                if s >= 0:
-                    slow, swidth = blocks(64 - width, budget)[s]
-                    key, deep = rooted(key, slow, swidth, 64 - width), width + swidth
-                keys[own], depth[own] = key, deep
-        order = np.lexsort((keys, below, sub, block, root))
-        keys, depth, rep = keys[order], depth[order], rep[order]
-        where = np.stack([x[order] for x in (root.astype(np.int64), block, sub.astype(np.int64), below)])
-        group = np.concatenate(([0], np.cumsum((where[:, 1:] != where[:, :-1]).any(axis=0))))
-        forest = Forest(len(keys))
-        for i, j in trie_pairs(keys, group, depth, budget):
-            forest.join(i, j)
-        a, b = forest.links(rep)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def guarded(batches):
-        batches = [b for b in batches if b.num_rows]
-        if batches:
-            yield from run(batches)
-
-    return dealt.mapInArrow(guarded, "a long, b long")
+        for table in whole_groups(batches, keys):
+            root, block, sub, below, lo, hi, fp, rep = (table.column(i).to_numpy() for i in range(8))
+            fp = fp.astype(np.int64).view(np.uint64)
+            turned, depth = np.zeros(len(fp), np.uint64), np.zeros(len(fp), np.int64)
+            for i, (low, width) in enumerate(roots):
+                for s in (-1, *range(budget + 1)):
+                    own = (root == i) & (sub == s)
+                    if not own.any():
+                        continue
+                    key, deep = rooted(fp[own], low, width), width
+                    if s >= 0:
+                        slow, swidth = blocks(64 - width, budget)[s]
+                        key, deep = rooted(key, slow, swidth, 64 - width), width + swidth
+                    turned[own], depth[own] = key, deep
+            new = np.zeros(len(fp), np.int64)
+            new[starts_of(table, keys)] = 1
+            group = np.cumsum(new) - 1
+            order = np.lexsort((turned, group))
+            forest = Forest(len(fp))
+            for i, j in trie_pairs(turned[order], group, depth[order], budget):
+                forest.join(i, j)
+            a, b = forest.links(rep[order])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
@@ -206,20 +206,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Deduplication links texts whose sets of five-word shingles have a Jaccard similarity of ALIKE or more. Candidates are found by
-#: fingerprints of 256 bits: at that similarity 15 % of the bits differ, 19 % where a set of four lies in one of five. WIDE_BUDGET
-#: lies about four standard deviations above the latter's mean of 48. Two such texts agree on all bits of one of WIDE_ROOTS
-#: blocks with probability 1 - (1 - 0.85**ROOT_BITS)**WIDE_ROOTS, 0.9999 here (0.996 with 19 %), and more the more alike they are.
+#: fingerprints of 256 bits. At that similarity a share of 0.151 of the bits differs on average, and 0.19 where a set of four lies in one of
+#: five; the budgets lie about four standard deviations above (small sets, others). Roots look at ROOT_BITS bits or, so that few texts meet
+#: at a root by chance, at as many as the texts' number has, less PER_ROOT bits; there are so many roots that two texts at the limit agree on all bits
+#: of one with probability RECALL or more, and the more the more alike they are.
 WIDE_SHINGLE = 5
 WIDE_WORDS = 4
-WIDE_BUDGET = 72
-WIDE_ROOTS = 64
-ROOT_BITS = 12
-#: Budget of the first 64 bits below a root, as many standard deviations above the mean.
+WIDE_BUDGET, SMALL_BUDGET, SMALL_SET = 62, 72, 16
+ROOT_BITS, PER_ROOT = 12, 5
+DIFFERING = 0.151
+RECALL = 0.9995
+#: Budget of the first 64 bits below a root.
 FIRST_BUDGET = 24
 #: (numerator, denominator) of the least similarity.
 ALIKE = (4, 5)
-#: Candidate groups of more texts are dealt as pairs of parts of about so many.
+#: Candidate groups, and texts at one root, of more texts are dealt as pairs of parts of about so many.
 GROUP = 2048
+ROWS_A_TASK = 1_000_000
+#: Bytes of shingle hashes that a task compares at a time, and that meet in a task.
+SETS_AT_ONCE = 32 << 20
+
+
+def roots_for(texts: int) -> tuple[int, int]:
+    """(roots, bits of each) for so many distinct texts."""
+    bits = max(ROOT_BITS, max(texts, 1).bit_length() - PER_ROOT)
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFERING) ** bits)), bits
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -256,21 +267,23 @@ def wide_fingerprint(hashes: np.ndarray, wide: int = WIDE_WORDS) -> bytes:
     return np.packbits(votes * 2 > len(hashes), axis=1, bitorder="little").tobytes()
 
 
-def _root_bits(roots: int, wide: int) -> np.ndarray:
+def _root_bits(roots: int, width: int, wide: int) -> np.ndarray:
     """Which bits each root looks at: every bit is used about equally often."""
     rng, out = np.random.default_rng(3), []
     pool = np.zeros(0, np.int64)
     for _ in range(roots):
-        if len(pool) < ROOT_BITS:
+        if len(pool) < width:
             pool = rng.permutation(64 * wide)
-        out.append(np.sort(pool[:ROOT_BITS]))
-        pool = pool[ROOT_BITS:]
+        out.append(np.sort(pool[:width]))
+        pool = pool[width:]
     return np.array(out)
 
 
-def wide_links(reps: DataFrame, budget: int = WIDE_BUDGET, roots: int = WIDE_ROOTS, wide: int = WIDE_WORDS) -> DataFrame:
-    """Edges (a, b) that connect the candidates, texts of alike fingerprints; reps: fp (binary) with rep."""
-    bits = _root_bits(roots, wide)
+def wide_links(reps: DataFrame, texts: int, wide: int = WIDE_WORDS, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) that connect the candidates, texts of alike fingerprints and sizes; reps: fp (binary), size (of the set), rep."""
+    roots, width = roots_for(texts)
+    bits = _root_bits(roots, width, wide)
+    num, den = ALIKE
 
     def place(batches):
         for batch in batches:
@@ -278,32 +291,37 @@ def wide_links(reps: DataFrame, budget: int = WIDE_BUDGET, roots: int = WIDE_ROO
             raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(-1, 8 * wide)
             ones = np.unpackbits(raw, axis=1, bitorder="little")
             for r in range(roots):
-                block = ones[:, bits[r]].astype(np.int32) @ (1 << np.arange(ROOT_BITS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(block + (r << ROOT_BITS), pa.int32()), fp, batch.column("rep")], ["block", "fp", "rep"])
+                block = ones[:, bits[r]].astype(np.int64) @ (1 << np.arange(width))
+                yield pa.RecordBatch.from_arrays([pa.array(block + (r << width), pa.int64()), fp, batch.column("size"), batch.column("rep")], ["block", "fp", "size", "rep"])
 
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = reps.where("rep IS NOT NULL").mapInArrow(place, "block int, fp binary, rep long").repartition(parts, "block")
+    placed = reps.where("rep IS NOT NULL").select("fp", "size", "rep").mapInArrow(place, "block long, fp binary, size long, rep long")
+    keys = ["block", "lo", "hi"]
+    dealt = in_parts(placed, ["block"], "rep", group).select(*keys, "fp", "size", "rep")
+    dealt = dealt.repartition(parts_for(reps.sparkSession, texts * roots, ROWS_A_TASK), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        block, rep = t.column("block").to_numpy(), t.column("rep").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, wide)
-        # Below its root a trie begins with another word for each root.
-        first = fp[np.arange(len(fp)), (block >> ROOT_BITS) % wide]
-        order = np.lexsort((first, block))
-        block, rep, fp, first = block[order], rep[order], fp[order], first[order]
-        forest = Forest(len(rep))
-        for i, j in trie_pairs(first, block, np.zeros(len(rep), np.int64), FIRST_BUDGET):
-            near = np.zeros(len(i), np.int64)
-            for w in range(wide):
-                near += np.bitwise_count(fp[i, w] ^ fp[j, w])
-            ok = near <= budget
-            forest.join(i[ok], j[ok])
-        a, b = forest.links(rep)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for t in whole_groups(batches, keys):
+            block, size, rep = (t.column(n).to_numpy() for n in ("block", "size", "rep"))
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, wide)
+            new = np.zeros(len(rep), np.int64)
+            new[starts_of(t, keys)] = 1
+            own = np.cumsum(new) - 1
+            # Below its root a trie begins with another word for each root.
+            first = fp[np.arange(len(fp)), (block >> width) % wide]
+            order = np.lexsort((first, own))
+            size, rep, fp, first = size[order], rep[order], fp[order], first[order]
+            forest = Forest(len(rep))
+            for i, j in trie_pairs(first, own, np.zeros(len(rep), np.int64), FIRST_BUDGET):
+                less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                fit = (den * less >= num * more) & (size[i] > 0) & (size[j] > 0)
+                i, j, less = i[fit], j[fit], less[fit]
+                near = np.zeros(len(i), np.int64)
+                for w in range(wide):
+                    near += np.bitwise_count(fp[i, w] ^ fp[j, w])
+                ok = near <= np.where(less < SMALL_SET, SMALL_BUDGET, WIDE_BUDGET)
+                forest.join(i[ok], j[ok])
+            a, b = forest.links(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -346,59 +364,64 @@ def alike_pairs(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def alike_links(sets: DataFrame, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) that connect the texts of a candidate group by exact similarity; sets: grp, rep, hashes (binary)."""
-    # At most (texts) / group candidate groups are large.
-    large = sets.groupBy("grp").count().where(F.col("count") > group).select("grp", F.ceil(F.col("count") / group).cast("int").alias("k"))
-    parted = sets.join(written(large), "grp", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    twice = parted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = twice.select("grp", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "rep", "hashes").repartition(parts, "grp", "lo", "hi")
+    """Edges (a, b) that connect the texts of a candidate group by exact similarity; sets: grp, rep, hashes (binary), written."""
+    keys = ["grp", "lo", "hi"]
+    dealt = in_parts(sets, ["grp"], "rep", group).select(*keys, "rep", "hashes")
+    held = sets.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0)).alias("n")).first()["n"]
+    dealt = dealt.repartition(parts_for(sets.sparkSession, held, SETS_AT_ONCE), *keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        grp, lo, hi, rep = (t.column(n).to_numpy() for n in ("grp", "lo", "hi", "rep"))
-        hashes = t.column("hashes")
-        order = np.lexsort((rep, hi, lo, grp))
-        new = np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (grp, lo, hi)], axis=0)))
-        starts = np.flatnonzero(new)
-        for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist(), strict=True):
-            if b - a < 2:
-                continue
-            own = order[a:b]
-            i, j = alike_pairs([np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in own.tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array(rep[own[i]], pa.int64()), pa.array(rep[own[j]], pa.int64())], ["a", "b"])
+        for t in whole_groups(batches, keys, SETS_AT_ONCE):
+            rep, hashes = t.column("rep").to_numpy(), t.column("hashes")
+            starts = starts_of(t, keys)
+            one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(rep)).tolist(), strict=True):
+                if b - a > 1:
+                    i, j = alike_pairs([np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in range(a, b)])
+                    one.append(rep[a + i])
+                    other.append(rep[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one), pa.int64()), pa.array(np.concatenate(other), pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(doc_id, component_id) of the documents that aren't the least of their group."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def shingle_sets(texts: DataFrame, kind: str, fingerprinted: bool) -> DataFrame:
+    """doc_id with the key of its set of shingles, and the set's fingerprint and size, or the set; texts: doc_id, text without nulls."""
 
     def run(batches):
         for batch, data, offs in text_batches(batches):
             raw = data.tobytes().lower()
             sets = [shingle_set(raw[a:b].split()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             packed = [s.tobytes() for s in sets]
-            keys, fps = [xxhash.xxh3_128_digest(s) for s in packed], [wide_fingerprint(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(fps, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "key", "fp", "hashes"])
+            columns = [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in packed], pa.binary())]
+            if fingerprinted:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([wide_fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "key", "fp", "size"])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary())], ["doc_id", "key", "hashes"])
+
+    return texts.mapInArrow(run, f"doc_id {kind}, key binary, " + ("fp binary, size long" if fingerprinted else "hashes binary"))
+
 
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """(doc_id, component_id) of the documents that aren't the least of their group."""
+    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    marked = written(texts.mapInArrow(run, f"doc_id {kind}, key binary, fp binary, hashes binary"))
-    reps = written(marked.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("fp").alias("fp")))
-    found = components(wide_links(reps))
+    marked = written(shingle_sets(texts, kind, True))
+    reps = written(marked.groupBy("key").agg(F.min("doc_id").cast("long").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size")))
+    found = components(wide_links(reps, reps.count(), group=group))
     # The least text of a group has no row of its own in `found`.
     grouped = found.select("node", F.col("component").alias("grp")).unionByName(found.select(F.col("component").alias("node"), F.col("component").alias("grp")).distinct())
-    wanted = reps.join(grouped, F.col("rep") == F.col("node")).select(F.col("key").alias("key2"), "rep", "grp")
-    # Repeated rows of the representative have equal sets.
-    sets = written(marked.join(wanted, (F.col("key") == F.col("key2")) & (F.col("doc_id").cast("long") == F.col("rep"))).select("grp", "rep", "key", "hashes").dropDuplicates(["rep", "key"]).drop("key"))
+    wanted = written(reps.join(grouped, F.col("rep") == F.col("node")).select(F.col("key").alias("key2"), "rep", "grp"))
+    # Only the candidates' texts are turned into sets again; repeated rows of a representative have equal ones.
+    asked = texts.join(wanted.select("rep").distinct(), F.col("doc_id").cast("long") == F.col("rep"), "left_semi")
+    sets = shingle_sets(asked, kind, False).join(wanted, (F.col("key") == F.col("key2")) & (F.col("doc_id").cast("long") == F.col("rep")))
+    sets = written(sets.select("grp", "rep", "key", "hashes").dropDuplicates(["rep", "key"]).drop("key"))
     roots = components(alike_links(sets, group))
     home = written(reps.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("key2"), F.coalesce("component", "rep").alias("component_id")))
     joined = marked.select("doc_id", "key").join(home, F.col("key") == F.col("key2"))
-    return written(joined.where("doc_id != component_id").select("doc_id", "component_id").distinct())
+    gone = written(joined.where("doc_id != component_id").select("doc_id", "component_id").distinct())
+    released(marked, reps, wanted, sets, home)
+    return gone
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,10 +26,17 @@ def matrix(column, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def from_bytes(column, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
+def exact_kind(rows: DataFrame, col: str):
+    """The numpy type that holds the components without loss: that of the column, if they are floats, else double."""
+    return np.float32 if rows.schema[col].dataType.elementType.simpleString() == "float" else np.float64
 
 
-def to_bytes(x: np.ndarray) -> list[bytes]:
-    raw, step = np.ascontiguousarray(x, np.float64).tobytes(), 8 * x.shape[1]
+def from_bytes(column, width: int, kind=np.float64) -> np.ndarray:
+    """Doubles, from rows of components of that kind."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width).astype(np.float64)
+
+
+def to_bytes(x: np.ndarray, kind=np.float64) -> list[bytes]:
+    raw = np.ascontiguousarray(x, kind)
+    step, raw = raw.itemsize * x.shape[1], raw.tobytes()
     return [raw[i : i + step] for i in range(0, len(raw), step)]

@@ -42,6 +42,16 @@ def test_caps(spark, chunk):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+def test_caps_of_repeated_ids_and_floats(spark):
+    """Rows of one id with different vectors link by themselves; equal vectors of several ids are one node."""
+    e, f, g = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.99, 0.05, 0.0]
+    rows = [(5, e), (5, f), (5, f), (7, g), (8, f), (3, [0.0, 0.0, 1.0])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in caps.near_vectors(df).collect())
+        assert got == [(3, 0, 3, True), (5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 1, 5, False), (8, 2, 5, False)]
+
+
 @pytest.mark.parametrize("n,width", [(50_000, 64), (3_000_000, 64), (15_000_000, 64), (3_000_000, 16), (500_000, 255), (50_000, 3)])
 def test_caps_share_filters_at_any_size(n, width):
     """Pairs at the limit share CODES * SHARED filters on average, and hardly any pair shares none."""
@@ -56,7 +66,7 @@ def test_caps_share_filters_at_any_size(n, width):
     assert shared.mean() > 0.85 * caps.CODES * caps.SHARED and (shared > 0).mean() >= 0.98
 
 
-@pytest.mark.parametrize("scale,chunk", [(False, 20_000), (True, 20_000), (False, 8)])
+@pytest.mark.parametrize("scale,chunk", [(False, 20_000), (True, 20_000), (False, 8), (False, 2)])
 def test_neighbours(spark, scale, chunk):
     x, df = vectors(spark, 2, scale=scale)
     rows = neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10, chunk=chunk).collect()
