@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .sampling import bounded_sample
+from .sampling import bounded_sample, one_each
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return None
     df, n = document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    picked = rows.select("id", "text").join(F.broadcast(sample), F.col("id") == F.col("sample_id"))
+    picked = one_each(rows.select("id", "text").join(F.broadcast(sample), F.col("id") == F.col("sample_id")), "id", ["label", "text"])
     sparse = sparse_rows(picked.select("label", F.xxhash64("id", F.lit(1)).alias("at"), "text"))
     held = sparse[::5] if len(sparse) >= 25 else sparse
     kept = [r for i, r in enumerate(sparse) if i % 5] if len(sparse) >= 25 else sparse

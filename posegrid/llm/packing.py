@@ -13,6 +13,7 @@ fills many windows; an empty table gives no rows; other columns of the input are
 from __future__ import annotations
 
 import bisect
+import io
 import zlib
 from functools import lru_cache
 
@@ -29,18 +30,19 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 FAN_IN = 8
 END_ID = 1
-ROWS_OUT, IDS_OUT = 20_000, 1 << 20
+ROWS_OUT, IDS_OUT = 20_000, 1 << 19
+TEXT_AT_ONCE = 2 << 20
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+def tokenizer(file: bytes) -> WordBpe:
+    """Of the content of a file; workers need not see the driver's path."""
+    return WordBpe(io.StringIO(file.decode("utf-8")))
 
 
-def tokenised(batches, path: str, id_col: str):
+def tokenised(batches, bpe: WordBpe, id_col: str):
     """(id, ids with the end id) per document."""
-    bpe = tokenizer(path)
-    for batch, data, offs in text_batches(batches):
+    for batch, data, offs in text_batches(batches, limit=TEXT_AT_ONCE):
         raw = data.tobytes()
         docs = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         ids, sizes = bpe.ids([w for d in docs for w in d])
@@ -141,7 +143,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def first(batches):
         part, count, packer = TaskContext.get().partitionId(), 0, Packer(window, open_windows)
         columns, held = {n: [] for n in names}, 0
-        for doc, ids in tokenised(batches, path, "doc_id"):
+        bpe = tokenizer(shared.value)
+        for doc, ids in tokenised(batches, bpe, "doc_id"):
             for pieces in packer.add(doc, ids):
                 emit(columns, pieces, (part << 40) + count)
                 count += 1
@@ -153,7 +156,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             emit(columns, pieces, None, part, slot, True)
         if columns["doc_id"]:
             yield _rows(columns, arrow)
-        tokenizer(path).forget()  # the worker lives on
+        bpe.forget()  # the worker lives on
 
     def last(key, table):
         columns = {n: [] for n in names}
@@ -170,6 +173,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
+    with open(path, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
     arrow = to_arrow_schema(spark.createDataFrame([], full).schema)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     online = written(texts.mapInArrow(first, full))

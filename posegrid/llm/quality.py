@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import split_of, text_batches
-from .sampling import bounded_sample
+from .sampling import bounded_sample, one_each
 
 #: Bound of the fitting sample, for each label.
 PER_LABEL = 1500
+#: Bound of the lines of a sampled document that the fit sees; scores are of all lines.
+FIT_LINES = 5000
 #: Bytes of text whose features are computed at a time; they take about 60 bytes each.
 AT_ONCE = 1 << 20
 ROUNDS = 150
@@ -212,11 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch, data, offs in text_batches(batches, limit=AT_ONCE):
             x, _, n = line_features(data, offs)
             cuts = np.concatenate(([0], np.cumsum(n)))
-            rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            rows = [x[a : min(b, a + FIT_LINES)].astype(np.float32).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array(rows, pa.binary())], ["label", "at", "x"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = texts.join(F.broadcast(sample), F.col("id") == F.col("sample_id")).select(F.col("label").cast("int").alias("label"), F.xxhash64("id").alias("at"), "text")
+    picked = one_each(texts.join(F.broadcast(sample), F.col("id") == F.col("sample_id")), "id", ["label", "text"]).select(F.col("label").cast("int").alias("label"), F.xxhash64("id").alias("at"), "text")
     rows = sorted(picked.mapInArrow(run, "label int, at long, x binary").collect(), key=lambda r: (r["at"], r["label"]))
     if len({r["label"] for r in rows}) < 2:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)), float(rows[0]["label"] if rows else 1))

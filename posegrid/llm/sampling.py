@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def bounded_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int) -> tuple[DataFrame, dict]:
-    """At most per_label ids of each label, those of least hash; also the number of rows of each label.
+    """At most per_label rows of each label, those of least hash of their id; also the number of rows of each label.
 
-    Null ids and labels take no part. The sample has per_label x labels rows at most and is made from a list on the
-    driver, so it may be broadcast.
+    Null ids and labels take no part; of an id with several labels the least counts. Tasks rank their own rows before the shuffle. The
+    sample has per_label x labels rows at most and is made from a list on the driver, so it may be broadcast.
     """
     known = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).dropna()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picked = []
-    for label in sorted(counts):
-        least = known.where(F.col("label") == F.lit(label)).orderBy(F.xxhash64("id"), "id").limit(per_label)
-        picked += [(r["id"], r["label"]) for r in least.collect()]
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    least = known.withColumn("place", place).where(F.col("place") <= per_label).collect()
+    picked: dict = {}
+    for r in least:
+        picked[r["id"]] = min(picked.get(r["id"], r["label"]), r["label"])
     kinds = f"sample_id {rows.schema[id_col].dataType.simpleString()}, label {rows.schema[label_col].dataType.simpleString()}"
-    return rows.sparkSession.createDataFrame(picked, kinds).dropDuplicates(["sample_id"]), counts
+    return rows.sparkSession.createDataFrame(sorted(picked.items()), kinds), counts
+
+
+def one_each(picked: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """One row of each id, the least by the other columns, so that repeated rows don't lengthen a sample."""
+    least = picked.groupBy(id_col).agg(F.min(F.struct(*columns)).alias("least"))
+    return least.select(id_col, *(F.col(f"least.{c}").alias(c) for c in columns))

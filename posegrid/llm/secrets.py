@@ -14,6 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,10 @@ hunter soccer hockey ranger buster thomas robert daniel george charlie andrew mi
 cookie banana orange purple silver golden diamond magic power king queen star blue green black white red the and your
 my key pass word one two abc foo bar none null true false value string placeholder redacted xxxx here insert""".split()
 RANK = {w.encode(): i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, RANK))
+SHORTEST_WORD, LONGEST_WORD = 3, 20
+#: Words that are learned from a corpus; they rank behind WORDS.
+LEARNED = 50_000
+LETTERS = re.compile(rb"[a-z]{3,20}(?![a-z])")
 KEY_ROWS = (b"`1234567890-=", b"qwertyuiop[]", b"asdfghjkl;'", b"zxcvbnm,./", b"abcdefghijklmnopqrstuvwxyz")
 _BESIDE = {(a, b) for row in KEY_ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 DATE = re.compile(rb"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
@@ -54,7 +60,7 @@ for _b in range(256):
     _CARD[_b] = math.log10(10 if 48 <= _b < 58 else 26 if _b < 128 and _c.isalpha() else 33 if _b < 128 else 100)
 
 
-def guess_cost(value: bytes) -> float:
+def guess_cost(value: bytes, rank_of: dict[bytes, int] = RANK) -> float:
     """log10 of the guesses of the cheapest segmentation. Work is linear in the length but for dates and words of bounded length."""
     n = len(value)
     best = np.full(n + 1, np.inf)
@@ -72,8 +78,8 @@ def guess_cost(value: bytes) -> float:
         in_brute[at + 1] = min(in_brute[at], best[at] + SPAN_COST) + card[at]
         reach(at + 1, in_brute[at + 1])
         here = best[at] + SPAN_COST
-        for size in range(3, min(LONGEST_WORD, n - at) + 1):
-            rank = RANK.get(lower[at : at + size])
+        for size in range(SHORTEST_WORD, min(LONGEST_WORD, n - at) + 1):
+            rank = rank_of.get(lower[at : at + size])
             if rank:
                 capitals = sum(65 <= b < 91 for b in value[at : at + size])
                 reach(at + size, here + math.log10(rank + 1) + (0.3 if capitals in (1, size) else 0.3 * capitals))
@@ -124,26 +130,26 @@ def hex_runs(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def spans_of(raw: bytes, hexes: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+def spans_of(raw: bytes, hexes: list[tuple[int, int]], rank_of: dict[bytes, int] = RANK) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, by start and kind."""
     out = [(a, b, "hex") for a, b in hexes]
-    covered = []
     for m in ASSIGN.finditer(raw):
         if m.end(2) - m.start(2) >= MIN_VALUE:
             out.append((m.start(), m.end(), "assign"))
-            covered.append((m.start(), m.end()))
     for m in ACCESS.finditer(raw):
         if m.end() - m.start() >= MIN_ACCESS:
             out.append((m.start(), m.end(), "access"))
-    base = [(a, b) for a, b, _ in out]
+    base = sorted((a, b) for a, b, _ in out)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in CONTEXT.finditer(raw):
         a, b = m.span(1)
-        if not any(x <= a and b <= y for x, y in base) and guess_cost(raw[a:b]) >= MIN_COST:
+        before = bisect_right(starts, a)
+        if not (before and reach[before - 1] >= b) and guess_cost(raw[a:b], rank_of) >= MIN_COST:
             out.append((a, b, "guess"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def found(data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, str]]]:
+def found(data: np.ndarray, offs: np.ndarray, rank_of: dict[bytes, int] = RANK) -> dict[int, list[tuple[int, int, str]]]:
     """Spans by text, in code points; texts without any are absent."""
     hexes: dict[int, list] = {}
     for text, a, b in hex_runs(data, offs):
@@ -161,11 +167,12 @@ def found(data: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int,
     out = {}
     for text in sorted(hit):
         own = raw[offs[text] : offs[text + 1]]
-        spans = spans_of(own, hexes.get(text, []))
+        spans = spans_of(own, hexes.get(text, []), rank_of)
         if spans:
-            points = lambda at, s=own: len(s[:at].decode("utf-8", "replace"))
-            ascii_ = own.isascii()
-            out[text] = [(a, b, k) if ascii_ else (points(a), points(b), k) for a, b, k in spans]
+            if not own.isascii():
+                before = np.concatenate(([0], np.cumsum((np.frombuffer(own, np.uint8) & 0xC0) != 0x80)))
+                spans = [(int(before[a]), int(before[b]), k) for a, b, k in spans]
+            out[text] = spans
     return out
 
 
@@ -173,8 +180,30 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_assign, n_access, n_hex, base_sha256, spans."""
+def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEARNED) -> dict[bytes, int]:
+    """Ranks of WORDS, then of the `most` commonest other words of all texts: runs of 3 to 20 letters a-z, in either case."""
+
+    def run(batches):
+        counts: Counter = Counter()
+        for _, data, offs in text_batches(batches, limit=1 << 20):
+            raw = data.tobytes()
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                counts.update(LETTERS.findall(raw[a:b].lower()))
+            if len(counts) > 300_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+                counts = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "word binary, n long")
+    # `most` rows at most; the ranks are broadcast.
+    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    ranks = {bytes(r["word"]): len(WORDS) + 1 + i for i, r in enumerate(top)}
+    return ranks | RANK
+
+
+def scan(docs: DataFrame, rank_of: dict[bytes, int] = RANK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_assign, n_access, n_hex, base_sha256, spans. rank_of: the words that guessers know, by rank."""
+    shared = docs.sparkSession.sparkContext.broadcast(rank_of)
     kind = docs.schema[id_col].dataType.simpleString()
     none = hashlib.sha256(b"").hexdigest()
 
@@ -182,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch, data, offs in text_batches(batches):
             n = batch.num_rows
             counts, hashes, spans = np.zeros((3, n), np.int64), [none] * n, [""] * n
-            for text, own in found(data, offs).items():
+            for text, own in found(data, offs, shared.value).items():
                 base = [s for s in own if s[2] != "guess"]
                 for s in base:
                     counts[KINDS.index(s[2]), text] += 1
@@ -194,8 +223,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return texts.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, rank_of: dict[bytes, int] = RANK, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """The same rows and columns; every found span of the text is replaced by `mark`, overlapping ones by one. Null stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast(rank_of)
 
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:
@@ -203,7 +233,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
         values: list = []
         for _, data, offs in text_batches([pa.RecordBatch.from_arrays([text], ["text"])]):
             new: list = [None] * (len(offs) - 1)
-            spans = found(data, offs)
+            spans = found(data, offs, shared.value)
             raw = data.tobytes() if spans else b""
             for at_text, own in spans.items():
                 s, out, at = raw[offs[at_text] : offs[at_text + 1]].decode("utf-8", "replace"), [], 0

@@ -3,7 +3,8 @@
 A rule is (host, path, verdict). It fits its host and all subdomains when the url's path starts with the
 rule's path; the longest rule (host + path, then host, then text) wins. Each url is turned into its candidate keys
 (every host suffix at a label boundary x every path prefix whose length some rule has). Keys that the
-Bloom filter lets through go to an exact join with the rules, so its false positives never decide.
+Bloom filter lets through go to an exact join with the rules, so its false positives never decide; keys that it rejects go nowhere.
+Every host and path is looked up once, however many pages have it.
 
 The Bloom filter is a table of 256-bit blocks (four longs), BITS_PER_KEY bits a key, eight probes inside one
 block. It is broadcast only while its computed size is at most BROADCAST_BYTES; beyond, it joins by shuffle.
@@ -83,17 +84,16 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     bloom = bloom_table(listed, blocks)
     if blocks * 48 <= BROADCAST_BYTES:
         bloom = F.broadcast(bloom)
-    keyed = base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), facts["lens"]))
-    one = keyed.select(id_col, "host", "path", F.greatest(F.size("keys"), F.lit(1)).alias("n_keys"), F.explode_outer("keys").alias("key"))
+    # A result depends on host and path alone, so every pair of them is looked up once.
+    pairs = base.select("host", "path").distinct()
+    one = pairs.select("host", "path", F.explode(candidate_keys(F.col("host"), F.col("path"), facts["lens"])).alias("key"))
     block, words = _probes(F.col("key"), blocks)
-    probed = one.select("*", block.alias("block"), *[w.alias(f"m{i}") for i, w in enumerate(words)]).join(bloom, "block", "left")
     hit = F.lit(True)
     for i in range(4):
         hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    possible = probed.select(id_col, "host", "path", "n_keys", F.when(hit, F.col("key")).alias("key"))
-    exact = possible.join(listed.select("key", "w"), "key", "left")
-    best = F.max(F.when(F.col("w").isNotNull(), F.struct(F.length("key").alias("n"), F.col("w.host_len").alias("h"), F.col("key").alias("rule"), F.col("w.rule_verdict").alias("verdict"))))
-    per_page = exact.groupBy(id_col, "host", "path").agg(best.alias("best"), F.count("*").alias("n"), F.max("n_keys").alias("n_keys"))
-    # Equal rows share one group: n / n_keys of them.
-    again = per_page.select(id_col, "host", "path", "best", F.explode(F.array_repeat(F.lit(0), (F.col("n") / F.col("n_keys")).cast("int"))))
-    return again.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    probed = one.select("*", block.alias("block"), *[w.alias(f"m{i}") for i, w in enumerate(words)]).join(bloom, "block")
+    possible = probed.where(hit).select("host", "path", "key")
+    exact = possible.join(listed.select("key", "w"), "key")
+    best = F.max(F.struct(F.length("key").alias("n"), F.col("w.host_len").alias("h"), F.col("key").alias("rule"), F.col("w.rule_verdict").alias("verdict")))
+    found = exact.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", F.col("best.verdict").alias("found"))
+    return base.join(found, ["host", "path"], "left").select(id_col, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))

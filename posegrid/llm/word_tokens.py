@@ -17,7 +17,7 @@ from .csr import Rows
 
 NONE = np.int64(1) << 40
 #: Distinct white-space-free strings remembered by one worker before it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> list[str]:
@@ -72,8 +72,9 @@ class PairTable:
 
 
 class WordBpe:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+    def __init__(self, path):
+        """path: of a file, or an open one."""
+        with open(path, encoding="utf-8") if isinstance(path, str) else path as f:
             spec = json.load(f)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         vocab = model["vocab"]
