@@ -111,6 +111,11 @@ def admissible_pair(e: Evidence) -> Column:
     return F.when((e("gap") <= 0.006) & (e("same") | (e("semantic") >= 0.8)) & (e("separation") == 0) & (low >= 0.15) & (high >= 0.85), low).otherwise(0.0)
 
 
+def related_surface(e: Evidence) -> Column:
+    """A related name doesn't make an owned surface a new object."""
+    return at_least(e, semantic=0.5, cover=0.8)
+
+
 def admission(e: Evidence) -> Column:
     """Branch by which a group is admitted, or null: two views must be better than many."""
     two = (e("views") == 2) & at_least(e, confidence=0.75, best=0.9)
@@ -119,11 +124,6 @@ def admission(e: Evidence) -> Column:
     return F.when(seen & two, "strict_two_view").when(seen & many, "multiview")
 
 
-def trim(e: Evidence) -> Column:
-    """At most three tenths go, and what stays is worth keeping."""
-    return (e("removed") <= 0.3) & (e("points") * (1 - e("removed")) >= 32)
-
-
 def existence_rejection(e: Evidence) -> Column:
     eligible = every(e("linear") < 0.02, e("margin") < -0.02, e("views") >= 5, e("visible") >= 0.8, e("own") < 0.05, e("background") >= 0.9, e("weighted") < 0.35)
     return eligible & at_least(e, joint=5, baseline=0.15)
@@ -134,7 +134,10 @@ def isolated_fragment(e: Evidence) -> Column:
 
 
 def witnessed(e: Evidence) -> Column:
-    return at_least(e, support=2, confidence=0.5, points=128)
+    """A weak proposal (`best`: its strongest mask) on a free surface (`own`: the share that others own) that `support` frames tell
+    apart from others of its kind, `features` frames show, and whose mask has 128 pixels or more in `areas` frames."""
+    weak = (e("best") < 0.7) & (e("own") < 0.25) & (e("extent") <= 0.65)
+    return weak & at_least(e, support=2, features=2, baseline=0.15, confidence=0.5, areas=2, points=64)
 
 
 def support_surface(e: Evidence) -> Column:
@@ -146,7 +149,8 @@ def planar(e: Evidence) -> Column:
 
 
 def dense_recovery(e: Evidence) -> Column:
-    return e("points") >= 256
+    """A broad level surface (`narrow`, `wide`: its horizontal extents) to which views add enough samples off the old ones."""
+    return at_least(e, points=1024, narrow=0.2, wide=0.8, level=0.995, flat=0.55, added=256)
 
 
 def evidence_rank(e: Evidence) -> Column:
@@ -156,7 +160,7 @@ def evidence_rank(e: Evidence) -> Column:
 RULES = {
     "p01_contained_duplicate": contained_duplicate, "p02_granularity": granularity, "p03_background_rejection": background_rejection, "p04_planar_rejection": planar_rejection,
     "p05_confirmed_existence": confirmed_existence, "p05_confirmed_core": confirmed_core, "p06_hierarchy": hierarchy, "p07_native_merge": native_merge, "p08_whole_object": whole_object,
-    "p09_contradicted": contradicted, "p10_rejection_reasons": rejection_reasons, "p11_compact": compact, "p12_proposal": proposal, "p12_admissible_pair": admissible_pair, "p13_admission": admission,
-    "p14_trim": trim, "p15_existence_rejection": existence_rejection, "p16_isolated_fragment": isolated_fragment, "p17_witnessed": witnessed, "p24_support_surface": support_surface,
+    "p09_contradicted": contradicted, "p10_rejection_reasons": rejection_reasons, "p11_compact": compact, "p12_proposal": proposal, "p12_admissible_pair": admissible_pair, "p12_related_surface": related_surface, "p13_admission": admission,
+    "p15_existence_rejection": existence_rejection, "p16_isolated_fragment": isolated_fragment, "p17_witnessed": witnessed, "p24_support_surface": support_surface,
     "p26_planar": planar, "p27_dense_recovery": dense_recovery,
 }

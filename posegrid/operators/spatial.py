@@ -97,3 +97,14 @@ def strided(points: DataFrame, group: list[str], order: str, most: int) -> DataF
     w = Window.partitionBy(*group)
     place = F.row_number().over(w.orderBy(order)) - 1
     return points.withColumn("__i", place).withColumn("__n", F.count("*").over(w)).where("__i % greatest(1, __n div {0}) = 0".format(most)).drop("__i", "__n")
+
+
+def supported_trim(points: DataFrame, group: str, ratio: float = 0.4, least: int = 3, beyond: float = 0.01, most: float = 0.3) -> DataFrame:
+    """points with `removed`: votes (positive, negative) speak against the point and it lies `distance` off the measured ones;
+    none of a group is removed where that would be more than the share `most`. Points without votes stay."""
+    share = F.col("positive") / F.greatest(F.col("positive") + F.col("negative"), F.lit(1.0))
+    out = F.coalesce((share < ratio) & (F.col("negative") >= least) & (F.col("distance") > beyond), F.lit(False))
+    marked = points.withColumn("removed", out)
+    all_ = marked.groupBy(F.col(group).alias("__group")).agg(F.avg(F.col("removed").cast("int")).alias("__share"))
+    joined = marked.join(all_, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return joined.withColumn("removed", F.col("removed") & (F.col("__share") <= most)).drop("__group", "__share")

@@ -20,31 +20,36 @@ TRACKS = "scene long, track long, label string, n long, frames long, mean_conf d
 
 
 class Tracker:
-    """Tracks of one scene: [label, n, frames, sum of confidence, sum of k, last frame]."""
+    """Tracks of one scene: [label, n, frames, sum of confidence, sum of k, last frame], by label, since labels never mix."""
 
     def __init__(self, tracks: list | None = None):
         self.tracks = tracks or []
+        self.by_label: dict[str, list[int]] = {}
+        for i, t in enumerate(self.tracks):
+            self.by_label.setdefault(t[0], []).append(i)
 
-    def score(self, label: str, conf: float, k: float, frame: str) -> list[float]:
-        out = []
-        for t in self.tracks:
-            if t[0] != label or t[5] == frame:
-                out.append(-1.0)
-            else:
-                out.append(1.2 - abs(conf - t[3] / t[1]) / 50 - abs(k - t[4] / t[1]) / 100)
-        return out
+    def score(self, own: list[int], conf: np.ndarray, k: np.ndarray, frame: str) -> np.ndarray:
+        """Of observations of one label with the tracks `own`."""
+        n, c, m = (np.array([self.tracks[i][f] for i in own], float) for f in (1, 3, 4))
+        free = np.array([self.tracks[i][5] != frame for i in own], bool)
+        return np.where(free, 1.2 - np.abs(conf[:, None] - c / n) / 50 - np.abs(k[:, None] - m / n) / 100, -1.0)
 
     def frame(self, rows: pd.DataFrame, frame: str) -> None:
-        rows = rows.sort_values("event_id")
-        m = np.array([self.score(r.label, r.conf, r.k, frame) for r in rows.itertuples()]).reshape(len(rows), len(self.tracks))
-        paired = dict(assign(m)) if self.tracks else {}
-        for i, r in enumerate(rows.itertuples()):
+        rows = rows.sort_values("event_id", ignore_index=True)
+        paired: dict[int, int] = {}
+        for label, own in rows.groupby("label", sort=False).indices.items():
+            known = self.by_label.get(label)
+            if known:
+                m = self.score(known, rows["conf"].to_numpy(float)[own], rows["k"].to_numpy(float)[own], frame)
+                paired |= {int(own[i]): known[j] for i, j in assign(m)}
+        for i, (label, conf, k) in enumerate(zip(rows["label"], rows["conf"], rows["k"], strict=True)):
             at = paired.get(i)
             if at is None:
-                self.tracks.append([r.label, 1, 1, float(r.conf), float(r.k), frame])
+                self.by_label.setdefault(label, []).append(len(self.tracks))
+                self.tracks.append([label, 1, 1, float(conf), float(k), frame])
             else:
                 t = self.tracks[at]
-                t[1], t[2], t[3], t[4], t[5] = t[1] + 1, t[2] + 1, t[3] + float(r.conf), t[4] + float(r.k), frame
+                t[1], t[2], t[3], t[4], t[5] = t[1] + 1, t[2] + 1, t[3] + float(conf), t[4] + float(k), frame
 
     def add(self, rows: pd.DataFrame) -> None:
         for frame, own in rows.groupby(rows["frame"].astype(str), sort=True):

@@ -71,7 +71,11 @@ def valid_first_matching(spark, d):
 
 @query("w01_average_precision")
 def average_precision(spark, d):
-    """At 0.1, 0.25 and 0.5; predictions and truths without any overlap count, too."""
+    return precisions(spark, d, (0.1, 0.25, 0.5))
+
+
+def precisions(spark, d, thresholds):
+    """At each threshold; predictions and truths without any overlap count, too."""
     b = boxes(spark, d)
     counts = b.groupBy("brand").agg(F.count_if(F.col("id") % 2 == 0).alias("truths"))
     alone = b.where("id % 2 = 1").select("brand", F.lit(None).cast("long").alias("truth"), F.col("id").alias("pred"), "conf", F.lit(0.0).alias("iou"))
@@ -84,7 +88,7 @@ def average_precision(spark, d):
         m = np.zeros((len(preds), n))
         q = p.dropna(subset=["truth"])
         m[np.searchsorted(preds["pred"], q["pred"]), np.searchsorted(known, q["truth"])] = q["iou"]
-        out = [(p["brand"].iloc[0], t, K.average_precision(preds["conf"].to_numpy(), m, t)[0]) for t in (0.1, 0.25, 0.5)]
+        out = [(p["brand"].iloc[0], t, K.average_precision(preds["conf"].to_numpy(), m, t)[0]) for t in thresholds]
         return pd.DataFrame(out, columns=["brand", "threshold", "ap"])
 
     return rows.groupBy("brand").applyInPandas(run, "brand string, threshold double, ap double")
@@ -92,17 +96,32 @@ def average_precision(spark, d):
 
 @query("w02_mean_precision")
 def mean_precision(spark, d):
-    b = average_precision(spark, d)
+    """Over 0.50 to 0.95 by 0.05."""
+    b = precisions(spark, d, [t / 100 for t in range(50, 100, 5)])
     return b.groupBy("brand").agg(F.round(F.avg("ap"), 9).alias("mean_ap"))
 
 
+@query("w03_ranking_reasons")
+def ranking_reasons(spark, d):
+    """At 0.25: why each prediction counts or doesn't, by confidence."""
+    alone = boxes(spark, d).where("id % 2 = 1").select("brand", F.lit(None).cast("long").alias("truth"), F.col("id").alias("pred"), "conf", F.lit(0.0).alias("iou"))
+
+    def run(p):
+        order = p.drop_duplicates("pred").sort_values(["conf", "pred"], ascending=[False, True])["pred"].tolist()
+        q = p.dropna(subset=["truth"])
+        pairs: dict = {}
+        for r in q.itertuples():
+            pairs.setdefault(r.pred, []).append((r.iou, int(r.truth)))
+        out = K.ranking_reasons(order, pairs, 0.25)
+        return pd.DataFrame({"brand": p["brand"].iloc[0], "pred": [x[0] for x in out], "truth": pd.array([x[1] for x in out], "Int64"), "reason": [x[2] for x in out]})
+
+    return _pairs(spark, d).unionByName(alone).groupBy("brand").applyInPandas(run, "brand string, pred long, truth long, reason string")
+
+
 def _suppressed(p: pd.DataFrame, threshold: float) -> pd.DataFrame:
     p = p.sort_values("id", ignore_index=True)
     lo, hi = p[["lox", "loy", "loz"]].to_numpy(), p[["hix", "hiy", "hiz"]].to_numpy()
-    inter = np.clip(np.minimum(hi[:, None], hi[None]) - np.maximum(lo[:, None], lo[None]), 0, None).prod(axis=2)
-    vol = (hi - lo).prod(axis=1)
-    iou = inter / np.maximum(vol[:, None] + vol[None] - inter, 1e-12)
-    keeper = K.suppress(iou, np.lexsort((p["id"], -p["conf"])), threshold)
+    keeper = K.suppress_pairs(len(p), *K.box_pairs(lo, hi), np.lexsort((p["id"], -p["conf"])), threshold)
     return pd.DataFrame({"brand": p["brand"], "id": p["id"], "keeper": p["id"].to_numpy()[keeper], "kept": keeper == np.arange(len(p))})
 
 
@@ -192,15 +211,13 @@ def voxel_component(spark, d):
 
 @query("c06_detached_minority")
 def detached_minority(spark, d):
+    """The tables' clouds are sparse, so clusters may be wider and the rest smaller than by default."""
     def run(p):
-        q = xyz(p)
-        core = K.largest(K.dbscan(q, 0.2, 1))
-        rest = q[~core]
-        gap = K.nearest_index(rest, q[core])[1].min() if len(rest) and core.any() else 0.0
-        wide = np.linalg.norm(np.ptp(rest, axis=0)) if len(rest) else 0.0
-        return pd.DataFrame({"g": [p["g"].iloc[0]], "core": [core.mean()], "gap": [gap], "detached": [bool(core.mean() >= 0.9 and gap > max(0.1, wide))]})
+        found = K.detached_minority(xyz(p), (0.008, 0.2), least=16, few=1)
+        core, gap, wide = found or (None, None, None)
+        return pd.DataFrame({"g": [p["g"].iloc[0]], "core": pd.array([core], "Float64"), "gap": pd.array([gap], "Float64"), "diameter": pd.array([wide], "Float64"), "detached": [found is not None]})
 
-    return per_instance(spark, d, run, "g int, core double, gap double, detached boolean")
+    return per_instance(spark, d, run, "g int, core double, gap double, diameter double, detached boolean")
 
 
 @query("c12_constrained_groups")
@@ -291,3 +308,25 @@ def robust_inliers(spark, d):
 def tracks(spark, d):
     """Frame by frame in time order, observations join the best track of their scene."""
     return track_batch(obs(spark, d))
+
+
+@query("p14_axial_trim")
+def axial_trim(spark, d):
+    """Points of an instance against its own measured axis; the votes are the points' numbers."""
+    def run(p):
+        q, n = xyz(p), p["id"].to_numpy()
+        return p.assign(removed=K.axial_trim(q, q, n % 5, n % 7))[["g", "id", "removed"]]
+
+    return per_instance(spark, d, run, "g int, id long, removed boolean")
+
+
+@query("p26_regularized")
+def regularized(spark, d):
+    """Points moved onto the plane of their instance; limits as wide as the tables' clouds are."""
+    def run(p):
+        q = xyz(p)
+        to = K.regularized(q, least=16, tolerance=0.2, share=0.6, span=0.2)
+        moved = np.zeros(len(q)) if to is None else np.linalg.norm(to - q, axis=1)
+        return p.assign(moved=np.round(moved, 9))[["g", "id", "moved"]]
+
+    return per_instance(spark, d, run, "g int, id long, moved double")

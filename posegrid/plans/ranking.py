@@ -11,18 +11,6 @@ from .geometry import r6
 from .registry import boxes, masks, obs, pts, query, table
 
 
-@query("w03_ranking_reasons", """
-WITH p AS (SELECT l_orderkey AS pred, l_suppkey AS truth, max(l_discount) AS iou, max(l_extendedprice) AS conf FROM lineitem GROUP BY 1, 2), b AS (SELECT pred, arg_max(truth, (iou, -truth)) AS truth, max(iou) AS iou, arg_max(conf, (iou, -truth)) AS conf FROM p GROUP BY 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY truth, iou >= 0.05 ORDER BY conf DESC, pred) AS k FROM b)
-SELECT pred, truth, CASE WHEN iou < 0.05 THEN 'localization_below_threshold' WHEN k = 1 THEN 'matched' ELSE 'duplicate_competition' END AS reason FROM r""")
-def ranking_reasons(spark, d):
-    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pred"), F.col("l_suppkey").alias("truth")).agg(F.max("l_discount").alias("iou"), F.max("l_extendedprice").alias("conf"))
-    b = p.groupBy("pred").agg(F.max(F.struct("iou", F.negative("truth").alias("nt"), "conf")).alias("m")).select("pred", (-F.col("m.nt")).alias("truth"), "m.iou", "m.conf")
-    w = Window.partitionBy("truth", F.col("iou") >= 0.05).orderBy(F.desc("conf"), "pred")
-    reason = F.when(F.col("iou") < 0.05, "localization_below_threshold").when(F.row_number().over(w) == 1, "matched").otherwise("duplicate_competition")
-    return b.select("pred", "truth", reason.alias("reason"))
-
-
 @query("w04_top3_per_truth", """
 WITH p AS (SELECT l_partkey AS gt, l_orderkey AS pred, max(l_extendedprice) AS iou FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY gt ORDER BY iou DESC, pred) AS k FROM p) SELECT gt, k, pred FROM r WHERE k <= 3""")
 def top3_per_truth(spark, d):

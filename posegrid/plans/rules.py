@@ -16,6 +16,7 @@ EVIDENCE = {
     "extent": "l_quantity / 12", "points": "l_quantity * 8 * (l_partkey % 20 + 1)", "core": "l_quantity * 10", "confidence": "0.5 + l_discount * 5", "best": "0.6 + l_discount * 5", "baseline": "l_tax * 3", "gap": "0.08 - l_tax",
     "background": "l_quantity / 45", "supported": "l_discount * 9", "visible": "0.4 + l_tax * 7", "against": "0.5 + l_tax * 6", "own": "l_discount", "weighted": "l_discount * 4", "mixed": "l_tax * 3", "detected": "l_discount * 4",
     "margin": "l_discount - 0.05", "linear": "l_discount / 8", "level": "0.9 + l_discount", "flat": "0.7 + l_tax * 4", "removed": "l_discount * 5", "keep0": "0.5 + l_tax * 6", "keep1": "0.4 + l_discount * 6", "keep2": "l_quantity / 50",
+    "areas": "l_linenumber % 4", "narrow": "l_quantity / 60", "wide": "l_quantity / 30", "added": "l_quantity * 20",
 }
 FLAGS = {"visual": "l_returnflag = 'R'", "aligned": "l_linestatus = 'O'", "same": "l_linestatus = 'F'"}
 
@@ -40,13 +41,13 @@ RULE_SQL = {
     "p12_admissible_pair": "CASE WHEN gap <= 0.006 AND (same OR semantic >= 0.8) AND separation = 0 AND least(cover, inclusion) >= 0.15 AND greatest(cover, inclusion) >= 0.85 THEN least(cover, inclusion) ELSE 0.0::DOUBLE END",
     "p13_admission": """CASE WHEN baseline >= 0.15 AND features >= 1 AND views = 2 AND confidence >= 0.75 AND best >= 0.9 THEN 'strict_two_view'
         WHEN baseline >= 0.15 AND features >= 1 AND views >= 3 AND features >= 2 AND confidence >= 0.65 AND best >= 0.8 THEN 'multiview' END""",
-    "p14_trim": "removed <= 0.3 AND points * (1 - removed) >= 32",
+    "p12_related_surface": "semantic >= 0.5 AND cover >= 0.8",
     "p15_existence_rejection": "linear < 0.02 AND margin < -0.02 AND views >= 5 AND visible >= 0.8 AND own < 0.05 AND background >= 0.9 AND weighted < 0.35 AND joint >= 5 AND baseline >= 0.15",
     "p16_isolated_fragment": "views >= 2 AND joint < 3 AND views / greatest(views + joint, 1.0) >= 0.6 AND baseline >= 0.15",
-    "p17_witnessed": "support >= 2 AND confidence >= 0.5 AND points >= 128",
+    "p17_witnessed": "best < 0.7 AND own < 0.25 AND extent <= 0.65 AND support >= 2 AND features >= 2 AND baseline >= 0.15 AND confidence >= 0.5 AND areas >= 2 AND points >= 64",
     "p24_support_surface": "views >= 3 AND cover >= 0.7 AND purity >= 0.6",
     "p26_planar": "points >= 4096 AND flat >= 0.8 AND extent >= 0.5",
-    "p27_dense_recovery": "points >= 256",
+    "p27_dense_recovery": "points >= 1024 AND narrow >= 0.2 AND wide >= 0.8 AND level >= 0.995 AND flat >= 0.55 AND added >= 256",
 }
 
 
@@ -72,6 +73,16 @@ for _name, _f in P.RULES.items():
     _rule(_name, _f)
 
 
+@query("p14_supported_trim", """
+WITH v AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity % 7 AS positive, (l_partkey + l_linenumber) % 7 AS negative, round(l_tax / 2, 6) AS distance FROM lineitem),
+f AS (SELECT *, positive / greatest(positive + negative, 1.0) < 0.4 AND negative >= 3 AND distance > 0.01 AS out FROM v)
+SELECT l_orderkey, l_linenumber, out AND avg(out::INT) OVER (PARTITION BY l_suppkey) <= 0.3 AS removed FROM f""")
+def supported_trim(spark, d):
+    """Line items as voted points of their supplier's instance."""
+    v = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") % 7).alias("positive"), ((F.col("l_partkey") + F.col("l_linenumber")) % 7).alias("negative"), F.round(F.col("l_tax") / 2, 6).alias("distance"))
+    return spatial.supported_trim(v, "l_suppkey").select("l_orderkey", "l_linenumber", "removed")
+
+
 @query("p31_metric_compare", """
 WITH m AS (SELECT c_nationkey AS scene, c_mktsegment AS profile, round(avg(c_acctbal), 6) AS ap25, round(min(c_acctbal), 6) AS ap50, count(*) AS frames FROM customer GROUP BY 1, 2), b AS (SELECT * FROM m WHERE profile = 'BUILDING')
 SELECT m.scene AS scene, m.profile AS profile, m.ap25 >= b.ap25 - 1e-10 AND m.ap50 >= b.ap50 - 1e-10 AND (m.ap25 > b.ap25 + 1e-10 OR m.ap50 > b.ap50 + 1e-10) AS accepted, m.frames = b.frames AS same_scope FROM m JOIN b USING (scene) WHERE m.profile <> 'BUILDING'""")
