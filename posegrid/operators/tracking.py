@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -28,32 +29,41 @@ class Tracker:
         for i, t in enumerate(self.tracks):
             self.by_label.setdefault(t[0], []).append(i)
 
-    def score(self, own: list[int], conf: np.ndarray, k: np.ndarray, frame: str) -> np.ndarray:
+    def score(self, own: list[int], conf: list[float], k: list[float], frame: str) -> np.ndarray:
         """Of observations of one label with the tracks `own`."""
-        n, c, m = (np.array([self.tracks[i][f] for i in own], float) for f in (1, 3, 4))
+        n, c, m = np.array([self.tracks[i][1] for i in own], float), np.array([self.tracks[i][3] for i in own]), np.array([self.tracks[i][4] for i in own])
         free = np.array([self.tracks[i][5] != frame for i in own], bool)
-        return np.where(free, 1.2 - np.abs(conf[:, None] - c / n) / 50 - np.abs(k[:, None] - m / n) / 100, -1.0)
+        return np.where(free, 1.2 - np.abs(np.array(conf)[:, None] - c / n) / 50 - np.abs(np.array(k)[:, None] - m / n) / 100, -1.0)
 
-    def frame(self, rows: pd.DataFrame, frame: str) -> None:
-        rows = rows.sort_values("event_id", ignore_index=True)
+    def frame(self, frame: str, seen: list[tuple[str, float, float]]) -> None:
+        """seen: (label, confidence, key) of the frame's observations, in order."""
+        by_label: dict[str, list[int]] = {}
+        for i, (label, _, _) in enumerate(seen):
+            by_label.setdefault(label, []).append(i)
         paired: dict[int, int] = {}
-        for label, own in rows.groupby("label", sort=False).indices.items():
+        for label, rows in by_label.items():
             known = self.by_label.get(label)
             if known:
-                m = self.score(known, rows["conf"].to_numpy(float)[own], rows["k"].to_numpy(float)[own], frame)
-                paired |= {int(own[i]): known[j] for i, j in assign(m)}
-        for i, (label, conf, k) in enumerate(zip(rows["label"], rows["conf"], rows["k"], strict=True)):
+                m = self.score(known, [seen[i][1] for i in rows], [seen[i][2] for i in rows], frame)
+                if len(rows) == 1:
+                    best = int(m[0].argmax())
+                    pairs = [(0, best)] if m[0, best] > 0 else []
+                else:
+                    pairs = assign(m)
+                paired |= {rows[i]: known[j] for i, j in pairs}
+        for i, (label, conf, k) in enumerate(seen):
             at = paired.get(i)
             if at is None:
                 self.by_label.setdefault(label, []).append(len(self.tracks))
-                self.tracks.append([label, 1, 1, float(conf), float(k), frame])
+                self.tracks.append([label, 1, 1, conf, k, frame])
             else:
                 t = self.tracks[at]
-                t[1], t[2], t[3], t[4], t[5] = t[1] + 1, t[2] + 1, t[3] + float(conf), t[4] + float(k), frame
+                t[1], t[2], t[3], t[4], t[5] = t[1] + 1, t[2] + 1, t[3] + conf, t[4] + k, frame
 
     def add(self, rows: pd.DataFrame) -> None:
-        for frame, own in rows.groupby(rows["frame"].astype(str), sort=True):
-            self.frame(own, frame)
+        order = sorted(zip(rows["frame"].astype(str), rows["event_id"], rows["label"], rows["conf"].astype(float), rows["k"].astype(float), strict=True), key=lambda r: r[:2])
+        for frame, own in groupby(order, key=lambda r: r[0]):
+            self.frame(frame, [r[2:] for r in own])
 
     def table(self, scene: int) -> pd.DataFrame:
         t = self.tracks
