@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import released, text_batches, written
 
 KINDS = ("assign", "access", "hex", "guess")
 #: The base patterns.
@@ -181,7 +181,10 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEARNED) -> dict[bytes, int]:
-    """Ranks of WORDS, then of the `most` commonest other words of all texts: runs of 3 to 20 letters a-z, in either case."""
+    """Ranks of WORDS, then of the commonest other words of all texts, at most `most` and all or none of those about as common.
+
+    A word is a run of 3 to 20 letters a-z, in either case. The ranks are broadcast.
+    """
 
     def run(batches):
         counts: Counter = Counter()
@@ -195,9 +198,19 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEARNED)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     words = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "word binary, n long")
-    # `most` rows at most; the ranks are broadcast.
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
-    ranks = {bytes(r["word"]): len(WORDS) + 1 + i for i, r in enumerate(top)}
+    step = F.floor(F.log2("n") * 64)
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", step))
+    # Steps of a sixty-fourth of an octave: 4096 rows at most. Whole steps are taken, so that `most` words at most reach the driver.
+    least, held = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    top = [] if least is None else counts.where(F.col("step") >= least).select("word", "n").collect()
+    released(counts)
+    ordered = sorted(((-r["n"], bytes(r["word"])) for r in top))
+    ranks = {w: len(WORDS) + 1 + i for i, (_, w) in enumerate(ordered)}
     return ranks | RANK
 
 

@@ -47,6 +47,24 @@ def test_language_without_labels(spark):
     assert lang_id.predict(none.limit(0), None).count() == 0
 
 
+def test_bounded_sample(spark):
+    """The ids of least hash of each label, whether hashes are cut beforehand or not, and however often ids repeat."""
+    from posegrid.llm.sampling import SPAN, bounded_sample
+
+    rows = [(i, "a" if i % 3 else "b") for i in range(3000)] + [(7, "a")] * 5000 + [(None, "a"), (1, None), (5, "b")]
+    df = spark.createDataFrame(rows, "k long, lang string").withColumn("place", F.lit(0))
+    h = {r["k"]: r["h"] for r in df.where("k IS NOT NULL").select("k", F.pmod(F.xxhash64("k"), F.lit(SPAN)).alias("h")).distinct().collect()}
+    for per_label in (20, 900, 5000):
+        sample, counts = bounded_sample(df, "k", "lang", per_label)
+        want = {}
+        for label in "ba":
+            own = sorted({k for k, x in rows if x == label and k is not None}, key=lambda k: (h[k], k))[:per_label]
+            want |= {k: min(label, want.get(k, label)) for k in own}
+        assert {r["sample_id"]: r["label"] for r in sample.collect()} == want and sample.count() == len(want)
+        assert counts == {"a": 7000, "b": 1001}
+    assert bounded_sample(df.limit(0), "k", "lang", 5)[0].count() == 0
+
+
 def test_grams_stay_inside_their_text():
     texts = ["", "a", "ab", "abcd", "é日x", ""]
     hashed, starts, total = lang_id.grams(texts)
