@@ -153,6 +153,58 @@ def dense_recovery(e: Evidence) -> Column:
     return at_least(e, points=1024, narrow=0.2, wide=0.8, level=0.995, flat=0.55, added=256)
 
 
+def part_acceptance(e: Evidence) -> Column:
+    """Words alone, words with a compositional name, or weak words that many views confirm."""
+    viewed = at_least(e, semantic=0.4, whole=3, consensus=0.6) & (e("separation") == 0)
+    return (e("semantic") >= 0.8) | (e("compositional") & (e("semantic") >= 0.65)) | viewed
+
+
+def anchored_part(e: Evidence) -> Column:
+    """`purity` of the inspected frames show the part in its parent; `mixed` is its volume against the body's."""
+    return at_least(e, support=5, purity=0.5, joint=3, points=32, body=32, inclusion=0.98) & (e("mixed") <= 0.5) & (e("gap") <= 0.015)
+
+
+def coobserved(e: Evidence) -> Column:
+    """One frame that shows both objects, each mostly under its own mask."""
+    return at_least(e, points=16, body=16, cover=0.6, visible=0.6)
+
+
+def enclosure_seam(e: Evidence) -> Column:
+    """Two closed bodies meet in a corner: upright faces at a right angle and contact along nearly the whole height."""
+    measured = at_least(e, points=512, semantic=0.85, views=3, height=0.5, face=0.4, contact=64, cells=128, seam=0.8, continuity=0.8)
+    return measured & (e("points") < e("body")) & (e("mismatch") <= 0.04) & (e("tilt") <= 0.08) & (e("dot") <= 0.15)
+
+
+def rear_boundary(e: Evidence) -> Column:
+    """A detached face has an observed parallel rear at a depth that its kind allows (`visual`: a support, else storage)."""
+    deep = F.when(e("visual"), (e("depth") > 0.04) & (e("depth") < 0.22)).otherwise((e("depth") > 0.12) & (e("depth") < 0.8))
+    return at_least(e, core=256, parallel=0.995) & deep
+
+
+def completion(e: Evidence) -> Column:
+    """Why a completed shape is refused, or 'accepted'."""
+    unfit = (e("cover") < 0.8) | ~e("complete").between(0.1, 0.85) | (e("growth") > 3)
+    return F.when(unfit, "incompatible").when(e("conflict") > 0.05, "other owner").when(e("free") > 0.03, "free space").when(e("added") < 32, "too few").otherwise("accepted")
+
+
+def open_layers(e: Evidence) -> Column:
+    return (e("layers") >= 3) & (e("closed") <= 0.6) & e("kept").between(0.25, 0.95)
+
+
+def dense_crossbar(e: Evidence) -> Column:
+    return at_least(e, views=3, added=64)
+
+
+def thin_recovery(e: Evidence) -> Column:
+    """Only one accepted instance of its kind, and far more verified new surface than it had."""
+    return (e("cohort") == 1) & (e("views") >= 12) & (e("added") >= F.greatest(F.lit(128), 3 * e("points")))
+
+
+def fixture_part(e: Evidence) -> Column:
+    """`purity`: the share of inspected frames that show the part in its parent; `same`: the name begins with the parent's."""
+    return e("same") & at_least(e, views=3, support=3, purity=0.5)
+
+
 def evidence_rank(e: Evidence) -> Column:
     return e("confidence") * F.sqrt(e("cover"))
 
@@ -162,5 +214,7 @@ RULES = {
     "p05_confirmed_existence": confirmed_existence, "p05_confirmed_core": confirmed_core, "p06_hierarchy": hierarchy, "p07_native_merge": native_merge, "p08_whole_object": whole_object,
     "p09_contradicted": contradicted, "p10_rejection_reasons": rejection_reasons, "p11_compact": compact, "p12_proposal": proposal, "p12_admissible_pair": admissible_pair, "p12_related_surface": related_surface, "p13_admission": admission,
     "p15_existence_rejection": existence_rejection, "p16_isolated_fragment": isolated_fragment, "p17_witnessed": witnessed, "p24_support_surface": support_surface,
+    "p18_part_acceptance": part_acceptance, "p18_anchored_part": anchored_part, "p19_coobserved": coobserved, "p20_enclosure_seam": enclosure_seam, "p22_rear_boundary": rear_boundary, "p23_completion": completion,
+    "p25_open_layers": open_layers, "p28_dense_crossbar": dense_crossbar, "p29_thin_recovery": thin_recovery, "p30_fixture_part": fixture_part,
     "p26_planar": planar, "p27_dense_recovery": dense_recovery,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graphs, kernels as K, masks as M, spatial
+from ..operators import attachments, graphs, kernels as K, masks as M, spatial
 from .geometry import r6
 from .kernels import _suppressed, per_instance, xyz
 from .registry import boxes, halves, masks, obs, pts, query, table
@@ -196,6 +196,41 @@ def nested_subtraction(spark, d):
     return m.join(gone, ["mask_id", "point_id"], "left_anti").groupBy("mask_id").agg(F.count("*").alias("kept"))
 
 
+@query("c29_independent_siblings", """
+WITH m AS (SELECT DISTINCT l_suppkey AS mask_id, l_orderkey AS point_id FROM lineitem), lab AS (SELECT o_orderkey AS point_id, CASE WHEN o_orderkey % 10 < 7 THEN 1 ELSE 0 END AS label FROM orders),
+v AS (SELECT mask_id, coalesce(label, 0) AS label, count(*) AS k FROM m LEFT JOIN lab USING (point_id) GROUP BY 1, 2), r AS (SELECT *, sum(k) OVER (PARTITION BY mask_id) AS area, row_number() OVER (PARTITION BY mask_id ORDER BY k DESC, label) AS i FROM v),
+o AS (SELECT mask_id, area, mask_id % 3 AS name, CASE WHEN k >= 0.7 * area THEN label ELSE 0 END AS parent FROM r WHERE i = 1), s AS (SELECT a.mask_id AS a, b.mask_id AS b, count(*) AS k FROM m a JOIN m b ON a.point_id = b.point_id GROUP BY 1, 2),
+c AS (SELECT p.mask_id AS mask_id, count(*) AS n FROM o p JOIN o q ON p.parent = q.parent AND p.name = q.name AND p.mask_id <> q.mask_id AND q.area <= 4 * p.area AND p.area <= 4 * q.area LEFT JOIN s ON s.a = p.mask_id AND s.b = q.mask_id WHERE coalesce(k, 0) < 0.1 * least(p.area, q.area) GROUP BY 1)
+SELECT o.mask_id AS mask_id, parent, coalesce(n, 0) AS siblings, parent = 0 OR coalesce(n, 0) > 0 AS kept FROM o LEFT JOIN c USING (mask_id)""")
+def independent_siblings(spark, d):
+    """Suppliers as masks over orders."""
+    m = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("mask_id"), (F.col("l_suppkey") % 3).cast("string").alias("name"), F.col("l_orderkey").alias("point_id"))
+    return attachments.siblings(m, table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), F.when(F.col("o_orderkey") % 10 < 7, 1).otherwise(0).alias("label")))
+
+
+@query("p21_line_members")
+def line_members(spark, d):
+    return attachments.line_members(pts(spark, d), "g")
+
+
+@query("p19_stem_attachment")
+def stem_attachment(spark, d):
+    """Neighbouring labels as bodies and their supports."""
+    p = pts(spark, d)
+    pairs = p.select(F.col("g").alias("body"), (F.col("g") + 1).alias("support")).distinct()
+    out = attachments.stems(p, "g", pairs)
+    return out.select("body", "support", *[r6(c).alias(c) for c in ("gap", "offset", "drift")], "attached")
+
+
+@query("p18_boundary_part")
+def boundary_part(spark, d):
+    """Neighbouring labels as parts and their bodies."""
+    p = pts(spark, d)
+    pairs = p.select(F.col("g").alias("source"), (F.col("g") + 1).alias("body"), F.lit(0.9).alias("semantic"), F.lit(3).alias("frames")).distinct()
+    out = attachments.boundary_parts(p, "g", pairs)
+    return out.select("source", "body", r6("inclusion").alias("inclusion"), r6("flatness").alias("flatness"), r6("gap").alias("gap"), "part")
+
+
 @query("c30_detector_union", """
 WITH a AS (SELECT * FROM masks WHERE mask_id % 2 = 0), b AS (SELECT * FROM masks WHERE mask_id % 2 = 1), sa AS (SELECT mask_id, count(*) AS n FROM a GROUP BY 1), sb AS (SELECT mask_id, count(*) AS n FROM b GROUP BY 1),
 o AS (SELECT a.mask_id AS a, b.mask_id AS b, count(*) AS k FROM a JOIN b USING (point_id) GROUP BY 1, 2), i AS (SELECT o.a AS a, o.b AS b, k / (sa.n + sb.n - k)::DOUBLE AS iou, sa.n AS na, sb.n AS nb FROM o JOIN sa ON sa.mask_id = o.a JOIN sb ON sb.mask_id = o.b)

@@ -17,8 +17,11 @@ EVIDENCE = {
     "background": "l_quantity / 45", "supported": "l_discount * 9", "visible": "0.4 + l_tax * 7", "against": "0.5 + l_tax * 6", "own": "l_discount", "weighted": "l_discount * 4", "mixed": "l_tax * 3", "detected": "l_discount * 4",
     "margin": "l_discount - 0.05", "linear": "l_discount / 8", "level": "0.9 + l_discount", "flat": "0.7 + l_tax * 4", "removed": "l_discount * 5", "keep0": "0.5 + l_tax * 6", "keep1": "0.4 + l_discount * 6", "keep2": "l_quantity / 50",
     "areas": "l_linenumber % 4", "narrow": "l_quantity / 60", "wide": "l_quantity / 30", "added": "l_quantity * 20",
+    "body": "l_quantity * 9 * (l_suppkey % 20 + 1)", "height": "l_quantity / 40", "face": "l_discount * 8", "contact": "l_quantity * 4", "cells": "l_quantity * 10", "seam": "0.6 + l_discount * 4", "continuity": "0.7 + l_tax * 4",
+    "mismatch": "l_tax / 1.5", "tilt": "l_discount", "dot": "l_tax * 2.5", "parallel": "0.99 + l_discount / 10", "depth": "l_quantity / 50", "layers": "l_linenumber", "closed": "l_discount * 9", "kept": "l_quantity / 50",
+    "complete": "l_discount * 9.5", "growth": "l_quantity / 12", "free": "l_tax / 2", "conflict": "l_discount * 0.8", "cohort": "l_linenumber % 3",
 }
-FLAGS = {"visual": "l_returnflag = 'R'", "aligned": "l_linestatus = 'O'", "same": "l_linestatus = 'F'"}
+FLAGS = {"compositional": "l_returnflag = 'A'", "visual": "l_returnflag = 'R'", "aligned": "l_linestatus = 'O'", "same": "l_linestatus = 'F'"}
 
 RULE_SQL = {
     "p01_contained_duplicate": "inclusion >= 0.95 AND cover >= 0.99 AND support >= 3 AND consensus >= 0.5 AND separation = 0",
@@ -46,6 +49,16 @@ RULE_SQL = {
     "p16_isolated_fragment": "views >= 2 AND joint < 3 AND views / greatest(views + joint, 1.0) >= 0.6 AND baseline >= 0.15",
     "p17_witnessed": "best < 0.7 AND own < 0.25 AND extent <= 0.65 AND support >= 2 AND features >= 2 AND baseline >= 0.15 AND confidence >= 0.5 AND areas >= 2 AND points >= 64",
     "p24_support_surface": "views >= 3 AND cover >= 0.7 AND purity >= 0.6",
+    "p18_part_acceptance": "semantic >= 0.8 OR (semantic >= 0.65 AND compositional) OR (semantic >= 0.4 AND whole >= 3 AND consensus >= 0.6 AND separation = 0)",
+    "p18_anchored_part": "support >= 5 AND purity >= 0.5 AND joint >= 3 AND points >= 32 AND body >= 32 AND inclusion >= 0.98 AND mixed <= 0.5 AND gap <= 0.015",
+    "p19_coobserved": "points >= 16 AND body >= 16 AND cover >= 0.6 AND visible >= 0.6",
+    "p20_enclosure_seam": "points >= 512 AND points < body AND semantic >= 0.85 AND views >= 3 AND height >= 0.5 AND mismatch <= 0.04 AND tilt <= 0.08 AND face >= 0.4 AND dot <= 0.15 AND contact >= 64 AND cells >= 128 AND seam >= 0.8 AND continuity >= 0.8",
+    "p22_rear_boundary": "core >= 256 AND parallel >= 0.995 AND depth > CASE WHEN visual THEN 0.04 ELSE 0.12 END AND depth < CASE WHEN visual THEN 0.22 ELSE 0.8 END",
+    "p23_completion": "CASE WHEN cover < 0.8 OR complete < 0.1 OR complete > 0.85 OR growth > 3 THEN 'incompatible' WHEN conflict > 0.05 THEN 'other owner' WHEN free > 0.03 THEN 'free space' WHEN added < 32 THEN 'too few' ELSE 'accepted' END",
+    "p25_open_layers": "layers >= 3 AND closed <= 0.6 AND kept >= 0.25 AND kept <= 0.95",
+    "p28_dense_crossbar": "views >= 3 AND added >= 64",
+    "p29_thin_recovery": "cohort = 1 AND views >= 12 AND added >= greatest(128, 3 * points)",
+    "p30_fixture_part": "same AND views >= 3 AND support >= 3 AND purity >= 0.5",
     "p26_planar": "points >= 4096 AND flat >= 0.8 AND extent >= 0.5",
     "p27_dense_recovery": "points >= 1024 AND narrow >= 0.2 AND wide >= 0.8 AND level >= 0.995 AND flat >= 0.55 AND added >= 256",
 }

@@ -98,3 +98,28 @@ def test_rules_at_their_limits(spark):
         for k, v in bad.items():
             assert verdict(rule, e | {k: v}) is False
             assert verdict(rule, e | {k: None}) is None
+
+
+def verdicts(spark, rule, good, *changes):
+    """The rule over one passing row of evidence and over its changed copies."""
+    rows = spark.createDataFrame([{k: float(v) if not isinstance(v, bool) else v for k, v in {**good, **c}.items()} for c in ({}, *changes)])
+    return [r.v for r in rows.coalesce(1).select(rule(F.col).alias("v")).collect()]
+
+
+def test_seams_and_thin_surfaces(spark):
+    seam = {"points": 600, "body": 900, "semantic": 0.9, "views": 3, "height": 0.6, "face": 0.5, "contact": 64, "cells": 128, "seam": 0.8, "continuity": 0.9, "mismatch": 0.04, "tilt": 0.05, "dot": 0.1}
+    off = [{"body": 600}, {"views": 2}, {"seam": 0.7}, {"dot": 0.2}, {"tilt": 0.1}, {"mismatch": 0.05}]
+    assert verdicts(spark, P.enclosure_seam, seam, *off) == [True] + [False] * 6
+    thin = {"cohort": 1, "views": 12, "added": 300, "points": 100}
+    assert verdicts(spark, P.thin_recovery, thin, {"cohort": 2}, {"views": 11}, {"added": 299}, {"points": 10, "added": 127}, {"points": 10, "added": 128}) == [True, False, False, False, False, True]
+
+
+def test_parts_rears_and_completions(spark):
+    part = {"semantic": 0.8, "compositional": False, "whole": 0, "consensus": 0, "separation": 1}
+    viewed = {"semantic": 0.4, "whole": 3, "consensus": 0.6, "separation": 0}
+    assert verdicts(spark, P.part_acceptance, part, {"semantic": 0.7}, {"semantic": 0.65, "compositional": True}, viewed, {**viewed, "separation": 1}) == [True, False, True, True, False]
+    rear = {"core": 256, "parallel": 0.995, "depth": 0.5, "visual": False}
+    assert verdicts(spark, P.rear_boundary, rear, {"visual": True}, {"depth": 0.1}, {"depth": 0.1, "visual": True}, {"depth": 0.8}, {"core": 255}) == [True, False, False, True, False, False]
+    shape = {"cover": 0.8, "complete": 0.5, "growth": 3, "conflict": 0.05, "free": 0.03, "added": 32}
+    got = verdicts(spark, P.completion, shape, {"cover": 0.7}, {"complete": 0.9}, {"growth": 3.1}, {"conflict": 0.06, "free": 1}, {"free": 0.04}, {"added": 31})
+    assert got == ["accepted", "incompatible", "incompatible", "incompatible", "other owner", "free space", "too few"]
