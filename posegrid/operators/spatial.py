@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import AXES, cell, distance
+from . import graphs
 
 
 def with_cells(points: DataFrame, size: float, prefix: str = "c") -> DataFrame:
@@ -53,6 +54,31 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, righ
     return left.select(*keys, left_id).join(best, left_id, "left")
 
 
+def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Nearest right row of each left row at any distance (left_id, dist, right_id); ties go to the smaller id, no right row: no rows.
+
+    Grid joins whose radius doubles: a hit within the radius is exact, so only rows without one go on to the next round, and those
+    lie far from everything. The first radius expects about one right row in a cell, if those are spread evenly. Rows with non-finite coordinates take no part.
+    """
+    finite = lambda df: df.where(" AND ".join(f"abs({a}) < double('inf')" for a in AXES))
+    rest, targets = finite(left.select(left_id, *AXES)), finite(right.select(right_id, *AXES))
+    ends = [f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    t, r = targets.agg(F.count("*").alias("n"), *ends).first(), rest.agg(*ends).first()
+    if not t["n"] or r["lox"] is None:
+        return rest.select(left_id, F.lit(None).cast("double").alias("dist")).join(targets.select(right_id).limit(0), F.lit(True))
+    widths = [t[f"hi{a}"] - t[f"lo{a}"] for a in AXES]
+    reach = sum((max(t[f"hi{a}"], r[f"hi{a}"]) - min(t[f"lo{a}"], r[f"lo{a}"])) ** 2 for a in AXES) ** 0.5
+    radius, done = max(max(widths) / t["n"] ** (1 / 3) or reach, reach / 2**20, 1e-12), None
+    while True:
+        hits = graphs.settled(nearest(rest, targets, radius, left_id, right_id))
+        found = hits.where(F.col("dist").isNotNull())
+        done = found if done is None else done.unionByName(found)
+        if radius > reach or hits.where("dist IS NULL").isEmpty():
+            return done.select(left_id, "dist", right_id)
+        rest = rest.join(hits.where("dist IS NULL").select(left_id), left_id, "left_semi")
+        radius *= 2
+
+
 def covered(left: DataFrame, right: DataFrame, radius: float, left_id: str, keys: list[str] = ()) -> DataFrame:
     """left_id of the rows that have a right row within the radius, once each."""
     return range_join(left.select(*keys, left_id, *AXES), right.select(*keys, *AXES), radius, keys).select(left_id).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import attachments, graphs, kernels as K, masks as M, spatial
+from ..operators import attachments, graphs, kernels as K, masks as M, retrieval, spatial
 from .geometry import r6
 from .kernels import _suppressed, per_instance, xyz
 from .registry import boxes, halves, masks, obs, pts, query, table
@@ -147,11 +147,9 @@ def unique_contraction(spark, d):
 @query("c24_atomic_partition", """
 WITH a AS (SELECT id, x, y, z FROM pts WHERE id % 25 = 0), c AS (SELECT p.id AS id, a.id AS anchor, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(p.x - a.x, 2) + pow(p.y - a.y, 2) + pow(p.z - a.z, 2)), a.id) AS k FROM pts p CROSS JOIN a) SELECT id, anchor FROM c WHERE k = 1""", "pts")
 def atomic_partition(spark, d):
-    """Every point goes to its nearest anchor; anchors are one bounded array a parent, so no pair is formed."""
+    """Every point goes to its nearest anchor, by grid joins of growing radius."""
     p = pts(spark, d)
-    anchors = p.where("id % 25 = 0").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "z"))).alias("anchors"))
-    dist = F.transform("anchors", lambda a: F.struct(S.distance([F.col("x"), F.col("y"), F.col("z")], [a["x"], a["y"], a["z"]]).alias("d"), a["id"].alias("id")))
-    return p.join(F.broadcast(anchors), F.lit(True)).select("id", F.array_min(dist)["id"].alias("anchor"))  # one row of anchors
+    return spatial.nearest_any(p, p.where("id % 25 = 0").withColumnRenamed("id", "anchor"), "id", "anchor").select("id", "anchor")
 
 
 @query("c25_containment_split", """
@@ -249,11 +247,10 @@ def record_validation(spark, d):
 @query("f09_tag_filter", """
 WITH u AS (SELECT textual AS t FROM halves WHERE id % 100 = 0), s AS (SELECT id, max(list_dot_product(textual, t) / greatest(sqrt(list_dot_product(textual, textual)) * sqrt(list_dot_product(t, t)), 1e-12)) AS m FROM halves, u WHERE id % 100 <> 0 GROUP BY 1) SELECT id FROM s WHERE m < 0.3""", "halves")
 def tag_filter(spark, d):
-    """The unwanted tags are a short stated list, held as one array."""
-    h = halves(spark, d)
-    unwanted = h.where("id % 100 = 0").agg(F.collect_list("textual").alias("u"))
-    best = F.array_max(F.transform("u", lambda t: S.cosine(F.col("textual"), t)))
-    return h.where("id % 100 <> 0").join(F.broadcast(unwanted), F.lit(True)).where(best < 0.3).select("id")  # one row of tags
+    """The unwanted tags are the stated set, compared with all rows in blocks; without tags no row is compared, as in the SQL."""
+    h = halves(spark, d).select("id", F.col("textual").alias("vector"))
+    best = retrieval.top_scores(h.where("id % 100 <> 0"), h.where("id % 100 = 0"), 1, unit=True, digits=12)
+    return best.where("score < 0.3").select(F.col("a").alias("id"))
 
 
 @query("f12_scene_names", r"SELECT page_id, regexp_matches(url, '^(https?)://') AS ok, regexp_extract(url, '([a-z]+)\.example\.', 1) AS member FROM pages")
@@ -321,9 +318,11 @@ def batched_neighbours(spark, d):
     """Three nearest of each point inside its batch, the point itself left out."""
     def run(p):
         q = xyz(p)
-        dist = np.sqrt(((q[:, None] - q[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(dist, np.inf)
-        near = np.argsort(dist, axis=1, kind="stable")[:, : min(3, len(p) - 1)]
+        near = np.empty((len(q), min(3, len(q) - 1)), np.int64)
+        for lo in range(0, len(q), 256):  # a slice of the distances at a time
+            dist = np.sqrt(((q[lo : lo + 256, None] - q[None]) ** 2).sum(axis=2))
+            dist[np.arange(len(dist)), np.arange(lo, lo + len(dist))] = np.inf
+            near[lo : lo + 256] = np.argsort(dist, axis=1, kind="stable")[:, : near.shape[1]]
         return pd.DataFrame({"g": p["g"], "id": p["id"], "near": [p["id"].to_numpy()[r].tolist() for r in near]})
 
     return per_instance(spark, d, run, "g int, id long, near array<long>")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graphs, masks as M
+from ..operators import graphs, masks as M, retrieval
 from .geometry import r6
-from .registry import boxes, masks, obs, pts, query, table
+from .registry import boxes, halves, masks, obs, pts, query, table
 
 
 @query("w04_top3_per_truth", """
@@ -336,14 +336,9 @@ def grid_points(spark, d):
 @query("z10_cross_frame_retrieval", """
 WITH s AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.textual, b.textual), 9) AS score FROM halves a JOIN halves b ON a.g <> b.g WHERE a.id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s) SELECT a, k, b FROM r WHERE k <= 3""", "halves")
 def cross_frame_retrieval(spark, d):
-    """A stated, small query set against all rows: the queries are broadcast in one block, partial top lists are kept per task."""
-    from .registry import halves
-
-    h = halves(spark, d)
-    ask = h.where("id % 25 = 0").select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("textual").alias("u"))
-    dot = F.aggregate(F.zip_with("u", "textual", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = h.join(ask, F.col("g") != F.col("ga")).select("a", F.col("id").alias("b"), F.round(dot, 9).alias("score"))
-    return s.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where("k <= 3").select("a", "k", "b")
+    """A stated query set against all rows, in blocks that hand on their best three."""
+    h = halves(spark, d).select("id", F.col("g").alias("group"), F.col("textual").alias("vector"))
+    return retrieval.top_scores(h.where("id % 25 = 0"), h, 3).select("a", "k", "b")
 
 
 @query("z11_pixel_boxes", "SELECT p_partkey AS id, round(p_size / 1000.0 * 640, 6) AS left_, round(p_retailprice / 3000.0 * 480, 6) AS top_ FROM part")
