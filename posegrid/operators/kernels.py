@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:
@@ -494,3 +495,43 @@ def ranking_reasons(order: list[int], pairs: dict[int, list[tuple[float, int]]],
             used.add(free)
         out.append((p, free, "matched" if free is not None else "duplicate_competition" if fits else "localization_below_threshold"))
     return out
+
+
+def turns() -> list[np.ndarray]:
+    """The 24 rotations that carry the axes onto each other."""
+    signs = np.array(np.meshgrid([1, -1], [1, -1], [1, -1])).reshape(3, -1).T
+    every = [np.eye(3)[[i, j, 3 - i - j]] * s for i in range(3) for j in range(3) if i != j for s in signs]
+    return [r for r in every if np.linalg.det(r) > 0]
+
+
+def best_turn(shape: np.ndarray, seen: np.ndarray, keep: float = 0.8) -> tuple[int, float]:
+    """Which turn, centred and scaled side by side to the seen points' box, leaves them nearest: the mean of the nearest share."""
+    losses = []
+    for r in turns():
+        p = shape @ r
+        side = np.ptp(seen, axis=0) / np.maximum(np.ptp(p, axis=0), 1e-5)
+        p = (p - (p.min(axis=0) + p.max(axis=0)) / 2) * side + (seen.min(axis=0) + seen.max(axis=0)) / 2
+        d = np.sort(nearest_index(seen, p)[1])
+        losses.append(float(d[: max(16, int(keep * len(d)))].mean()))
+    return int(np.argmin(np.round(losses, 12))), min(losses)
+
+
+def drawn(shape: np.ndarray, seen: np.ndarray, share: float = 0.12, most: float = 0.15, rounds: int = 3, step: float = 0.7) -> np.ndarray | None:
+    """The shape drawn softly to the seen points near it; None where a point would move by more than `most` of their extent."""
+    reach = share * max(float(np.linalg.norm(np.ptp(seen, axis=0))), 0.02)
+    out = shape.astype(float).copy()
+    for _ in range(rounds):
+        at, d = nearest_index(seen, out)
+        pulls = pd.DataFrame(seen[d < reach] - out[at[d < reach]]).groupby(at[d < reach]).mean()
+        if (d < reach).sum() < 16:
+            break
+        handles, pull = out[pulls.index], pulls.to_numpy()
+        shift = np.zeros_like(out)
+        for lo in range(0, len(out), 256):
+            far = np.linalg.norm(out[lo : lo + 256, None] - handles[None], axis=2)
+            near = np.argsort(far, axis=1, kind="stable")[:, :8]
+            dist = np.take_along_axis(far, near, axis=1)
+            weight = np.exp(-((dist / reach) ** 2) / 2)
+            shift[lo : lo + 256] = np.where(dist[:, :1] > 2 * reach, 0, (weight[:, :, None] * pull[near]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-8)[:, None])
+        out += step * shift
+    return out if np.linalg.norm(out - shape, axis=1).max(initial=0) <= most / share * reach else None

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import attachments, graphs, kernels as K, masks as M, retrieval, spatial
+from ..operators import attachments, graphs, kernels as K, masks as M, ownership, retrieval, spatial
 from .geometry import r6
 from .kernels import _suppressed, per_instance, xyz
 from .registry import boxes, halves, masks, obs, pts, query, table
@@ -302,15 +302,80 @@ def hard_negatives(spark, d):
     return s.join(t, "id").groupBy("id").agg(F.first("best").alias("best"), F.bool_and((F.col("d") == F.col("best")) | (F.col("top") - F.col("s") > 10000)).alias("clear"))
 
 
-@query("z18_verified_peers", """
-WITH o AS (SELECT a.mask_id AS owner, b.mask_id AS peer, count(*) AS k FROM masks a JOIN masks b ON a.point_id = b.point_id WHERE a.mask_id % 10 = 0 AND b.mask_id % 10 <> 0 GROUP BY 1, 2), n AS (SELECT mask_id, count(*) AS n FROM masks GROUP BY 1),
-q AS (SELECT owner, peer, round(sqrt((k / p.n::DOUBLE) * (k / r.n::DOUBLE)), 9) AS q, k / p.n::DOUBLE AS cover FROM o JOIN n p ON p.mask_id = owner JOIN n r ON r.mask_id = peer), b AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY q DESC, peer) AS i FROM q WHERE cover >= 0.1) SELECT owner, peer, round(q, 6) AS quality FROM b WHERE i = 1""", "masks")
+VIEWED = """s AS (SELECT DISTINCT l_suppkey % 20 AS peer, l_partkey AS point FROM lineitem WHERE l_linenumber <= 2), v AS (SELECT DISTINCT l_linenumber AS frame, l_partkey AS point FROM lineitem),
+h AS (SELECT DISTINCT l_linenumber AS frame, l_suppkey % 20 AS peer, l_orderkey % 2 AS mask, l_partkey AS point FROM lineitem), sc AS (SELECT DISTINCT frame, peer, mask, (mask + frame % 2 + 1) / 4.0 AS score FROM h),
+n AS (SELECT frame, peer, count(*) AS seed FROM s JOIN v USING (point) GROUP BY 1, 2 HAVING count(*) >= 8), c AS (SELECT frame, h.peer AS peer, mask, count(*) AS size, count(s.point) AS both_ FROM h LEFT JOIN s ON s.peer = h.peer AND s.point = h.point GROUP BY 1, 2, 3),
+q AS (SELECT frame, peer, mask, both_ / seed::DOUBLE AS cover, round(sqrt((both_ / seed::DOUBLE) * (both_ / size::DOUBLE)) * score, 9) AS quality FROM c JOIN n USING (frame, peer) JOIN sc USING (frame, peer, mask)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, peer ORDER BY quality DESC, mask) AS k FROM q) WHERE k = 1 AND cover >= 0.1)"""
+
+
+def viewed(spark, d):
+    """Line items as visible points, masks and seeds; both limits are lower than the operator's, since seeds are seen in few lines."""
+    t = table(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("peer"), F.col("l_partkey").alias("point"), F.col("l_linenumber").alias("frame"), (F.col("l_orderkey") % 2).alias("mask"))
+    scores = t.select("frame", "peer", "mask").distinct().withColumn("score", (F.col("mask") + F.col("frame") % 2 + 1) / 4.0)
+    return ownership.verified_peers(t.where("frame <= 2"), t, t, scores, 8, 0.1)
+
+
+@query("z18_verified_peers", f"WITH {VIEWED} SELECT frame, peer, mask, round(cover, 6) AS cover, round(quality, 6) AS quality FROM b")
 def verified_peers(spark, d):
-    m = masks(spark, d)
-    o = M.overlaps(m.where("mask_id % 10 = 0"), m.where("mask_id % 10 <> 0"))
-    q = o.withColumn("q", F.round(F.sqrt((F.col("both") / F.col("size_a")) * (F.col("both") / F.col("size_b"))), 9)).where("both / size_a >= 0.1")
-    best = M.owner(q, ["a"], [F.desc("q"), F.asc("b")])
-    return best.select(F.col("a").alias("owner"), F.col("b").alias("peer"), r6("q").alias("quality"))
+    return viewed(spark, d)[0].select("frame", "peer", "mask", r6("cover").alias("cover"), r6("quality").alias("quality"))
+
+
+@query("z18_peer_points", f"""
+WITH {VIEWED}, l AS (SELECT peer, point, count(*) AS visible FROM b JOIN v USING (frame) GROUP BY 1, 2), p AS (SELECT peer, point, count(*) AS positive FROM b JOIN h USING (frame, peer, mask) GROUP BY 1, 2),
+a AS (SELECT peer, point, own IS NOT NULL AS own, coalesce(positive, 0) AS positive, coalesce(visible, 0) AS visible FROM (SELECT *, 1 AS own FROM s) FULL JOIN l USING (peer, point) LEFT JOIN p USING (peer, point))
+SELECT *, (own AND NOT (visible >= 2 AND positive = 0)) OR (positive >= 2 AND positive / greatest(visible, 1)::DOUBLE >= 2 / 3::DOUBLE) AS kept FROM a""")
+def peer_points(spark, d):
+    return viewed(spark, d)[1]
+
+
+@query("z17_sub_proposals")
+def sub_proposals(spark, d):
+    """Line items as masks of their part's brand in a frame, over suppliers; the least size is lower than the operator's."""
+    m = table(spark, d, "lineitem").select((F.col("l_partkey") % 25).alias("parent"), F.col("l_linenumber").alias("frame"), (F.col("l_orderkey") % 3).alias("mask"), F.col("l_suppkey").alias("point"))
+    out = ownership.sub_proposals(m.withColumn("score", (F.col("mask") + 1) / 3), least=10)
+    return out.select("parent", "k", F.size("points").alias("n"), "frames", r6("score").alias("score"))
+
+
+@query("z04_painted_frames", """
+WITH m AS (SELECT DISTINCT l_shipdate AS frame, l_suppkey AS mask_id, l_partkey AS pixel FROM lineitem), r AS (SELECT frame, mask_id, row_number() OVER (PARTITION BY frame ORDER BY count(*) DESC, mask_id) AS local FROM m GROUP BY 1, 2),
+o AS (SELECT m.frame AS frame, pixel, m.mask_id AS mask_id, local, row_number() OVER (PARTITION BY m.frame, pixel ORDER BY local DESC) AS k FROM m JOIN r ON r.frame = m.frame AND r.mask_id = m.mask_id) SELECT frame, pixel, mask_id, local FROM o WHERE k = 1""")
+def painted_frames(spark, d):
+    m = table(spark, d, "lineitem").select(F.col("l_shipdate").alias("frame"), F.col("l_suppkey").alias("mask_id"), F.col("l_partkey").alias("pixel"))
+    return ownership.painted(m)
+
+
+@query("c23_best_turn")
+def best_turn(spark, d):
+    """Each instance against its own points, turned and stretched."""
+    def run(p):
+        q = xyz(p)
+        k, loss = K.best_turn(q @ K.turns()[5].T * 2, q)
+        return pd.DataFrame({"g": [p["g"].iloc[0]], "turn": [k], "loss": [round(loss, 6)]})
+
+    return per_instance(spark, d, run, "g int, turn long, loss double")
+
+
+@query("c22_drawn")
+def drawn(spark, d):
+    """Each instance's shifted points drawn back to it: the greatest movement, null where it is out of bounds."""
+    def run(p):
+        q = xyz(p)
+        moved = K.drawn(q + 0.01, q)
+        return pd.DataFrame({"g": [p["g"].iloc[0]], "most": [None if moved is None else round(float(np.linalg.norm(moved - q - 0.01, axis=1).max()), 6)]})
+
+    return per_instance(spark, d, run, "g int, most double")
+
+
+@query("y05_bounded_transfer")
+def bounded_transfer(spark, d):
+    """Even labels as weak aggregates, odd ones as seeds of half the size."""
+    p = pts(spark, d)
+    seeds = p.where("g % 2 = 1").select("id", "g", *[(F.col(a) / 2).alias(a) for a in "xyz"])
+    both = p.where("g % 2 = 0").select("id", "g", "x", "y", "z").unionByName(seeds)
+    g = both.select("g").distinct()
+    pairs = g.select(F.col("g").alias("source"), (F.col("g") + 1).alias("target"), F.lit(0.9).alias("semantic"))
+    return ownership.bounded_transfer(both, g.where("g % 2 = 0").withColumnRenamed("g", "source"), pairs, g.where("g % 2 = 1"), near=0.2, cover=0.5, inclusion=0.9)
 
 
 @query("z20_batched_neighbours")
