@@ -70,3 +70,10 @@ def without_dangling(edges: DataFrame, removed: DataFrame, id_col: str = "id") -
 def between_living(edges: DataFrame, nodes: DataFrame, id_col: str = "id") -> DataFrame:
     live = nodes.select(F.col(id_col).alias("__n"))
     return edges.join(live, edges["a"] == live["__n"], "left_semi").join(live, edges["b"] == live["__n"], "left_semi")
+
+
+def role_partners(pairs: DataFrame, child: str = "child", parent: str = "parent", support: str = "support") -> DataFrame:
+    """Pairs whose child has one possible parent in its role; a support's parent must have no other support either."""
+    n = lambda c: F.count("*").over(Window.partitionBy(c, support))
+    p = pairs.select(child, parent, support).dropna().distinct().withColumn("__c", n(child)).withColumn("__p", n(parent))
+    return p.where((F.col("__c") == 1) & ((F.col("__p") == 1) | ~F.col(support))).drop("__c", "__p")

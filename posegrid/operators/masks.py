@@ -39,3 +39,17 @@ def repaired(base: DataFrame, peer: DataFrame, mode: str, mask: str = "mask_id",
     if mode == "supplement":
         return a.unionByName(b.join(a.select(mask).distinct(), mask, "left_anti"))
     return a.unionByName(b).distinct() if mode == "union" else a.join(b, [mask, point], "left_semi")
+
+
+def without_nested(masks: DataFrame, contained: float = 0.9, larger: float = 1.5, mask: str = "mask_id", point: str = "point_id") -> DataFrame:
+    """(mask, point) of masks (mask, parent, label, point) without the points of masks nested in them: of the same parent and another
+    label, `contained` inside, and with the outer mask `larger` times the area. Rows with a null take no part."""
+    m = masks.select(mask, "parent", "label", point).dropna().distinct()
+    sizes = m.groupBy(mask, "parent", "label").agg(F.count("*").alias("n"))
+    own = m.select(F.col(mask).alias("big"), "parent", F.col("label").alias("l1"), point)
+    other = m.select(F.col(mask).alias("small"), "parent", F.col("label").alias("l2"), point)
+    both = own.join(other, ["parent", point]).where("big <> small AND l1 <> l2").groupBy("big", "small").agg(F.count("*").alias("k"))
+    nest = both.join(sizes.select(F.col(mask).alias("big"), F.col("n").alias("n1")), "big").join(sizes.select(F.col(mask).alias("small"), F.col("n").alias("n2")), "small")
+    nest = nest.where((F.col("k") >= contained * F.col("n2")) & (F.col("n1") >= larger * F.col("n2"))).select(F.col("big").alias(mask), "small")
+    gone = nest.join(m.select(F.col(mask).alias("small"), point), "small").select(mask, point)
+    return m.select(mask, point).join(gone, [mask, point], "left_anti")

@@ -182,16 +182,15 @@ def positive_owner(spark, d):
 
 
 @query("c28_nested_subtraction", """
-WITH m AS (SELECT * FROM masks), s AS (SELECT mask_id, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.mask_id AS big, b.mask_id AS small, count(*) AS k FROM m a JOIN m b ON a.point_id = b.point_id AND a.mask_id <> b.mask_id GROUP BY 1, 2),
-nest AS (SELECT big, small FROM o JOIN s p ON p.mask_id = big JOIN s q ON q.mask_id = small WHERE k >= 0.3 * q.n AND p.n >= 1.02 * q.n)
-SELECT m.mask_id AS mask_id, count(*) AS kept FROM m WHERE NOT EXISTS (SELECT 1 FROM nest JOIN m i ON i.mask_id = nest.small WHERE nest.big = m.mask_id AND i.point_id = m.point_id) GROUP BY 1""", "masks")
+WITH m AS (SELECT DISTINCT l_suppkey * 10 + k AS mask_id, l_suppkey AS parent, k % 3 AS label, l_orderkey * 10 + l_linenumber AS point_id FROM lineitem JOIN (SELECT unnest(range(1, 8)) AS k) ON k >= l_linenumber),
+s AS (SELECT mask_id, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.mask_id AS big, b.mask_id AS small, count(*) AS k FROM m a JOIN m b ON a.point_id = b.point_id AND a.parent = b.parent AND a.label <> b.label AND a.mask_id <> b.mask_id GROUP BY 1, 2),
+nest AS (SELECT big, small FROM o JOIN s p ON p.mask_id = big JOIN s q ON q.mask_id = small WHERE k >= 0.9 * q.n AND p.n >= 1.5 * q.n)
+SELECT m.mask_id AS mask_id, count(*) AS kept FROM m WHERE NOT EXISTS (SELECT 1 FROM nest JOIN m i ON i.mask_id = nest.small WHERE nest.big = m.mask_id AND i.point_id = m.point_id) GROUP BY 1""")
 def nested_subtraction(spark, d):
-    m = masks(spark, d)
-    o = M.overlaps(m)
-    both = o.select("a", "b", "both", "size_a", "size_b").unionByName(o.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b")))
-    nest = both.where("both >= 0.3 * size_b AND size_a >= 1.02 * size_b").select(F.col("a").alias("mask_id"), F.col("b").alias("small"))
-    gone = nest.join(m.select(F.col("mask_id").alias("small"), "point_id"), "small").select("mask_id", "point_id").distinct()
-    return m.join(gone, ["mask_id", "point_id"], "left_anti").groupBy("mask_id").agg(F.count("*").alias("kept"))
+    """Suppliers as parents; their masks hold the lines up to a number, so they nest."""
+    t = table(spark, d, "lineitem").withColumn("k", F.explode(F.sequence(F.col("l_linenumber").cast("int"), F.lit(7))))
+    m = t.select((F.col("l_suppkey") * 10 + F.col("k")).alias("mask_id"), F.col("l_suppkey").alias("parent"), (F.col("k") % 3).alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"))
+    return M.without_nested(m).groupBy("mask_id").agg(F.count("*").alias("kept"))
 
 
 @query("c29_independent_siblings", """
@@ -440,13 +439,11 @@ def unified_graph(spark, d):
 
 
 @query("y02_role_partners", """
-WITH p AS (SELECT DISTINCT l_suppkey AS child, l_partkey % 40 AS parent, l_returnflag = 'R' AS support FROM lineitem WHERE l_discount >= 0.1 AND l_tax >= 0.07), c AS (SELECT *, count(*) OVER (PARTITION BY child, support) AS nc, count(*) OVER (PARTITION BY parent, support) AS np FROM p)
+WITH p AS (SELECT DISTINCT l_orderkey AS child, l_partkey AS parent, l_returnflag = 'R' AS support FROM lineitem), c AS (SELECT *, count(*) OVER (PARTITION BY child, support) AS nc, count(*) OVER (PARTITION BY parent, support) AS np FROM p)
 SELECT child, parent, support FROM c WHERE nc = 1 AND (np = 1 OR NOT support)""")
 def role_partners(spark, d):
-    """A support and its body have only each other; other parts need one possible parent, which may have several."""
-    p = table(spark, d, "lineitem").where("l_discount >= 0.1 AND l_tax >= 0.07").select(F.col("l_suppkey").alias("child"), (F.col("l_partkey") % 40).alias("parent"), (F.col("l_returnflag") == "R").alias("support")).distinct()
-    n = lambda c: F.count("*").over(Window.partitionBy(c, "support"))
-    return p.withColumn("nc", n("child")).withColumn("np", n("parent")).where("nc = 1 AND (np = 1 OR NOT support)").select("child", "parent", "support")
+    """Orders as children, parts as possible parents."""
+    return graphs.role_partners(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("child"), F.col("l_partkey").alias("parent"), (F.col("l_returnflag") == "R").alias("support")))
 
 
 @query("y04_aggregate_rejection", """
