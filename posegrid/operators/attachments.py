@@ -129,3 +129,24 @@ def siblings(proposals: DataFrame, labels: DataFrame, share: float = 0.7, apart:
     taken = close.groupBy(F.col("a").alias("mask_id"), "name").agg(F.count("*").alias("taken"))
     out = one.join(fitting, ["parent", "name", "area"]).join(taken, ["mask_id", "name"], "left").withColumn("siblings", F.col("fitting") - 1 - F.coalesce("taken", F.lit(0)))
     return out.select("mask_id", "parent", "siblings", ((F.col("parent") == 0) | (F.col("siblings") > 0)).alias("kept"))
+
+
+def bars(points: DataFrame, group: str, id_col: str, pairs: DataFrame) -> DataFrame:
+    """For pairs (body, bar): alignment, contacts and `attached`: a long low bar along the body's upper part, touching it. Point ids are unique."""
+    p = points.dropna(subset=[group, *AXES]).select(F.col(group).alias("g"), F.col(id_col).alias("p"), *AXES)
+    asked = pairs.select("body", "bar").distinct()
+    s = p.groupBy("g").agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))], F.covar_samp("x", "x").alias("xx"), F.covar_samp("x", "y").alias("xy"), F.covar_samp("y", "y").alias("yy"))
+    half, spread = (F.col("xx") + F.col("yy")) / 2, F.hypot((F.col("xx") - F.col("yy")) / 2, F.col("xy"))
+    s = s.withColumn("long", half + spread >= 2.5 * F.greatest(half - spread, F.lit(1e-9))).withColumn("angle", F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2)
+    named = lambda k: s.select(F.col("g").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in s.columns if c != "g"])
+    mine = lambda k: p.withColumnRenamed("g", k).join(asked.select(k).distinct(), k, "left_semi")
+    met = spatial.range_join(mine("bar"), mine("body").drop("p"), 0.035, inclusive=False).join(asked, ["body", "bar"], "left_semi").groupBy("body", "bar").agg(F.countDistinct("p").alias("contacts"), F.min("dist").alias("nearest"))
+    j = asked.join(named("body"), "body").join(named("bar"), "bar").join(met, ["body", "bar"], "left")
+    tall, height = F.col("bar_hiz") - F.col("bar_loz"), F.col("body_hiz") - F.col("body_loz")
+    sides = [F.col(f"bar_hi{a}") - F.col(f"bar_lo{a}") for a in "xy"]
+    sized = (tall <= 0.18) & (F.greatest(*sides) >= 0.3) & (F.least(*sides) <= 0.35) & (F.greatest(*sides) >= 2 * tall)
+    placed = (F.col("bar_loz") >= F.col("body_loz") + 0.55 * height) & (F.col("bar_hiz") <= F.col("body_hiz") + 0.05)
+    along = F.abs(F.cos(F.col("body_angle") - F.col("bar_angle")))
+    touches = (F.col("nearest") <= 0.025) & (F.col("contacts") >= 32)
+    attached = F.coalesce(sized & placed & F.col("body_long") & F.col("bar_long") & (along >= 0.9) & touches, F.lit(False))
+    return j.select("body", "bar", along.alias("alignment"), F.coalesce("contacts", F.lit(0)).alias("contacts"), attached.alias("attached"))

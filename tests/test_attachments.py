@@ -81,3 +81,20 @@ def test_empty_tables(spark):
     pairs = spark.createDataFrame([], "source string, body string, support string, semantic double, frames int")
     assert A.line_members(p, "g").count() == A.stems(p, "g", pairs).count() == A.boundary_parts(p, "g", pairs).count() == 0
     assert A.siblings(spark.createDataFrame([], "mask_id long, name string, point_id long"), spark.createDataFrame([], "point_id long, label int")).count() == 0
+
+
+def test_bars(spark):
+    rng = np.random.default_rng(6)
+    block = lambda n, sides: rng.uniform(-0.5, 0.5, (n, 3)) * sides
+    head = block(3000, [0.8, 0.2, 0.1])
+    bar = block(400, [0.6, 0.03, 0.03]) + [0, 0, 0.04]
+    groups = {"head": head, "bar": bar, "across": bar[:, [1, 0, 2]], "low": bar - [0, 0, 0.08], "off": bar + [0, 0.3, 0], "round": block(400, [0.3, 0.3, 0.03]) + [0, 0, 0.04]}
+    rows = [(k, f"{k}{i}", *map(float, p)) for k, points in groups.items() for i, p in enumerate(points)]
+    p = spark.createDataFrame(rows, "g string, id string, x double, y double, z double")
+    pairs = spark.createDataFrame([("head", k) for k in groups if k != "head"], "body string, bar string")
+    got = {r.bar: r for r in A.bars(p, "g", "id", pairs).collect()}
+    assert {k: r.attached for k, r in got.items()} == {k: k == "bar" for k in groups if k != "head"}
+    near = np.sqrt(((bar[:, None] - head[None]) ** 2).sum(axis=2)).min(axis=1)
+    angles = [np.linalg.eigh(np.cov(v[:, :2].T))[1][:, 1] for v in (head, bar)]
+    assert got["bar"].contacts == (near < 0.035).sum() and got["bar"].alignment == pytest.approx(abs(angles[0] @ angles[1]))
+    assert A.bars(p.limit(0), "g", "id", pairs).count() == 0
