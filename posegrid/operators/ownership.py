@@ -107,12 +107,14 @@ def bounded_transfer(points: DataFrame, weak: DataFrame, pairs: DataFrame, seeds
     return moved.join(close.select("source", "id").distinct(), ["source", "id"], "left_anti").select("source", "target", "id")
 
 
-def painted(masks: DataFrame, frame: str = "frame", mask: str = "mask_id", pixel: str = "pixel") -> DataFrame:
+def painted(masks: DataFrame, frame: str = "frame", mask: str = "mask_id", pixel: str = "pixel", most: int | None = PAINTED_MOST) -> DataFrame:
     """frame, pixel, mask, local: masks painted largest first, so smaller ones stay on top; equal areas in order of their ids. An
-    error where a frame has more masks than a byte can name."""
+    error where a frame has more than `most` masks, by default those a byte can name; None paints any number."""
     m = masks.select(frame, mask, pixel).dropna().distinct()
     w = Window.partitionBy(frame)
-    local = m.groupBy(frame, mask).agg(F.count("*").alias("area")).withColumn("local", F.row_number().over(w.orderBy(F.desc("area"), mask))).withColumn("all", F.count("*").over(w))
-    guard = F.when(F.col("all") > PAINTED_MOST, F.raise_error(F.concat(F.lit("too many masks in frame "), F.col(frame).cast("string"))).cast("int")).otherwise(F.col("local"))
-    local = local.select(frame, mask, guard.alias("local"))
+    local = m.groupBy(frame, mask).agg(F.count("*").alias("area")).withColumn("local", F.row_number().over(w.orderBy(F.desc("area"), mask)))
+    if most is not None:
+        guard = F.when(F.col("all") > most, F.raise_error(F.concat(F.lit("too many masks in frame "), F.col(frame).cast("string"))).cast("int")).otherwise(F.col("local"))
+        local = local.withColumn("all", F.count("*").over(w)).select(frame, mask, guard.alias("local"))
+    local = local.select(frame, mask, "local")
     return m.join(local, [frame, mask]).groupBy(frame, pixel).agg(F.max(F.struct("local", mask)).alias("top")).select(frame, pixel, F.col(f"top.{mask}").alias(mask), "top.local")

@@ -57,3 +57,14 @@ def test_track_scores_add_up_in_order_and_round_as_sql(spark, tmp_path):
 def test_pair_evidence_of_frames_without_mass(spark, tmp_path):
     rows = [(0, 1, "a", 0.0), (1, 1, "b", 0.0), (2, 2, "a", 1.0), (3, 2, "b", -1.0), (4, 3, "a", 3.0), (5, 3, "b", 4.0), (6, 4, "a", None), (7, 4, "b", 0.0)]
     same(spark, written(tmp_path, events=events(rows)), "j29_pair_evidence", "events")
+
+
+def lineitems(n, suppliers, parts_, days=1, seed=0):
+    r = np.random.default_rng(seed)
+    day = np.array([DAY + datetime.timedelta(days=k) for k in range(days)])
+    return pd.DataFrame({"l_orderkey": r.integers(0, n, n), "l_partkey": r.integers(0, parts_, n), "l_suppkey": r.integers(0, suppliers, n), "l_quantity": r.integers(1, 51, n).astype(float), "l_returnflag": r.choice(list("ARN"), n), "l_shipdate": day[r.integers(0, days, n)]})
+
+
+def test_painted_frames_of_more_masks_than_a_byte_names(spark, tmp_path):
+    got = same(spark, written(tmp_path, lineitem=lineitems(3000, 400, 500, days=2)), "z04_painted_frames", "lineitem")
+    assert max(int(r[1]) for r in got) > 255
