@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import AXES
+from ..functions.scalars import AXES, distance
+from . import graphs
 from . import kernels as K
 from . import spatial
 
@@ -90,10 +91,12 @@ def bounded_transfer(points: DataFrame, weak: DataFrame, pairs: DataFrame, seeds
     asked = asked.select("source", "target").distinct().join(named("source"), "source").join(named("target"), "target").where(F.col("source_volume") >= larger * F.col("target_volume"))
     x, y, z = within("source", 0.015)
     inner = p.withColumnRenamed("g", "target").join(asked, "target").groupBy("source", "target").agg(F.avg((x & y & z).cast("int")).alias("share")).where(F.col("share") >= inclusion).select("source", "target")
-    a = p.select(F.col("g").alias("target"), F.col("id").alias("p"), *AXES).join(inner.select("target").distinct(), "target", "left_semi")
+    inner = graphs.settled(inner)  # written, like each step below that several others read
+    a = p.select(F.col("g").alias("target"), F.col("id").alias("p"), *AXES).join(inner, "target")
     b = p.select(F.col("g").alias("source"), *AXES).join(inner.select("source").distinct(), "source", "left_semi")
-    met = spatial.range_join(a, b, near).join(inner, ["source", "target"], "left_semi").groupBy("source", "target").agg(F.countDistinct("p").alias("met"))
+    met = spatial.reached(a, b, near, ["source", "target", "p"], ["source"]).groupBy("source", "target").agg(F.count("*").alias("met"))
     fitting = met.join(named("target"), "target").where(F.col("met") >= cover * F.col("target_n")).select("source", "target", "target_volume")
+    fitting = graphs.settled(fitting)
     other = fitting.select("source", F.col("target").alias("outer"), F.col("target_volume").alias("outer_volume"))
     nested = fitting.join(other, "source").where(F.col("outer_volume") >= 2 * F.col("target_volume")).select("target", "outer").distinct().join(named("outer"), "outer")
     x, y, z = within("outer", 0.015)
@@ -102,9 +105,20 @@ def bounded_transfer(points: DataFrame, weak: DataFrame, pairs: DataFrame, seeds
     maximal = fitting.join(covered, ["source", "target"], "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("source"))).where("c = 1").select("source", "target")
     x, y, z = within("target", 0.0)
     moved = p.withColumnRenamed("g", "source").join(maximal, "source").join(named("target"), "target").where(x & y & z).select("source", "target", "id", *AXES)
+    moved = graphs.settled(moved)
     rivals = p.join(seeds.select("g").distinct(), "g", "left_semi").select(F.col("g").alias("rival"), *AXES)
-    close = spatial.range_join(moved, rivals, near).where(F.col("rival") != F.col("source")).join(fitting.select("source", F.col("target").alias("rival")), ["source", "rival"], "left_anti")
-    return moved.join(close.select("source", "id").distinct(), ["source", "id"], "left_anti").select("source", "target", "id")
+    rivals, owners = rivals.distinct(), fitting.select("source", F.col("target").alias("rival"))
+    alien = lambda df: df.where(F.col("rival") != F.col("source")).join(owners, ["source", "rival"], "left_anti")
+    at, key = ["cx", "cy", "cz"], ["source", "id"]
+    # A rival in the point's own cell of half the width is near; only points without one meet the points of rivals, not of owners.
+    cells = spatial.with_cells(rivals, near / 2).select("rival", *at).distinct()
+    free = moved.join(alien(spatial.with_cells(moved, near / 2).join(cells, at)).select(*key).distinct(), key, "left_anti")
+    free = graphs.settled(free)
+    around = spatial.with_cells(free, near).withColumn("n", F.explode(spatial.neighbours())).drop(*at).select(*key, *AXES, "n.*")
+    homes = spatial.with_cells(rivals, near).withColumnsRenamed({x: f"r{x}" for x in AXES})
+    close = alien(around.join(homes.select("rival", *at).distinct(), at)).join(homes, ["rival", *at])
+    close = close.where(distance([F.col(x) for x in AXES], [F.col(f"r{x}") for x in AXES]) <= near)
+    return free.join(close.select(*key).distinct(), key, "left_anti").select("source", "target", "id")
 
 
 def painted(masks: DataFrame, frame: str = "frame", mask: str = "mask_id", pixel: str = "pixel", most: int | None = PAINTED_MOST) -> DataFrame:

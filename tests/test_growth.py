@@ -11,6 +11,7 @@ import pytest
 from posegrid.operators import boxes as B
 from posegrid.operators import graphs
 from posegrid.operators import kernels as K
+from posegrid.operators import ownership, spatial
 from posegrid.plans import QUERIES, SQL
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -170,3 +171,28 @@ def test_precision_holds_no_matrix_of_a_brand(spark, tmp_path, monkeypatch):
     n = 20000
     ap, taken = K.sparse_precision(np.arange(n) / n, np.arange(n), np.arange(n), np.full(n, 0.6), n, 0.5)
     assert abs(ap - 1) < 1e-9 and (taken == np.arange(n)).all()
+
+
+def test_reached_equals_brute_force(spark):
+    r = np.random.default_rng(8)
+    p, q = r.uniform(-1, 1, (150, 3)), r.uniform(-1, 1, (60, 3)).repeat(2, axis=0)
+    left = spark.createDataFrame([(i, i % 2, *map(float, v)) for i, v in enumerate(p)], "id long, k int, x double, y double, z double")
+    right = spark.createDataFrame([(i % 4 // 2, *map(float, v)) for i, v in enumerate(q)], "k int, x double, y double, z double")
+    d = np.linalg.norm(p[:, None] - q[None], axis=2)
+    alike = (np.arange(150) % 2)[:, None] == (np.arange(120) % 4 // 2)[None]
+    got = [x.id for x in spatial.reached(left, right, 0.4, ["id"], ["k"]).collect()]
+    assert sorted(got) == np.nonzero(((d <= 0.4) & alike).any(axis=1))[0].tolist()
+    assert 10 < len(got) < 140
+
+
+def test_crowds_settle_by_cells(spark, monkeypatch):
+    """800 points on 800 others: their pairs met before, none do now."""
+    met, plain = [], spatial.range_join
+    monkeypatch.setattr(spatial, "range_join", lambda *a, **k: met.append(plain(*a, **k)) or met[-1])
+    points = lambda g, n, width: [(g, g * 10**6 + i, *(width * (np.array([i % 20, i // 20 % 20, i // 400 % 20]) / 19 - 0.5)).tolist()) for i in range(n)]
+    corners = [(0, 99 + k, *map(float, v)) for k, v in enumerate(([-3.0] * 3, [3.0] * 3))]
+    p = spark.createDataFrame(points(0, 800, 1.0) + points(1, 800, 1.0) + corners, "g int, id long, x double, y double, z double")
+    one = lambda text, *rows: spark.createDataFrame(list(rows), text)
+    out = ownership.bounded_transfer(p, one("source int", (0,)), one("source int, target int, semantic double", (0, 1, 0.9)), one("g int", (1,)), near=0.2)
+    assert out.count() == 800
+    assert met and sum(m.count() for m in met[:1]) == 0
