@@ -56,9 +56,14 @@ def masks(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("mask_id"), F.col("l_partkey").alias("point_id")).distinct()
 
 
-def obs(spark, d) -> DataFrame:
+def obs(spark, d, *more) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, d, "events").select("event_id", F.col("user_id").alias("scene"), F.to_date("ts").alias("frame"), F.col("event_type").alias("label"), F.col("value").alias("conf"), k.alias("k"), "ts")
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("scene"), F.to_date("ts").alias("frame"), F.col("event_type").alias("label"), F.col("value").alias("conf"), k.alias("k"), "ts", *more)
+
+
+def place():
+    """Where a row stands in its table's files, to be read beside the table's columns: SQL on one thread adds up in this order."""
+    return F.struct("_metadata.file_path", "_metadata.row_index")
 
 
 def boxes(spark, d) -> DataFrame:

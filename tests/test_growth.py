@@ -1,5 +1,6 @@
 """Tables that the smallest folder doesn't hold: copies, crowds, zeros and ties. Queries must still equal their SQL."""
 
+import contextlib
 import datetime
 import math
 
@@ -41,6 +42,15 @@ def same(spark, folder, name, *tables):
     return got
 
 
+@contextlib.contextmanager
+def spark_conf(spark, key, value):
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def most_rows(spark, folder, name):
     """The most rows that any step of the query's last job put out."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -80,6 +90,22 @@ def test_pair_evidence_of_frames_without_mass(spark, tmp_path):
     same(spark, written(tmp_path, events=events(rows)), "j29_pair_evidence", "events")
 
 
+def test_pair_evidence_adds_up_in_the_files_order(spark, tmp_path):
+    """Labels of three events, whose shares of a frame are 0.3 or 0.8 but for rounding."""
+    r = np.random.default_rng(4)
+    rows = []
+    for frame in range(400):
+        labels = r.permutation(list("abcde"))[: r.integers(3, 6)]
+        for k, label in enumerate(labels):
+            share = (6, 21)[frame % 2] if k else (24, 9)[frame % 2] * (len(labels) - 1)
+            rows += [(len(rows) + i, frame, label, share * (1 + frame % 97) * w / 100) for i, w in enumerate((1, 2, 7))]
+    folder = written(tmp_path, events=events([rows[i] for i in r.permutation(len(rows))]))
+    assert len(same(spark, folder, "j29_pair_evidence", "events")) == 10
+    with spark_conf(spark, "spark.sql.files.maxPartitionBytes", "16k"):
+        pd.read_parquet(f"{folder}/events.parquet").to_parquet(f"{folder}/events.parquet", coerce_timestamps="us", index=False, row_group_size=300)
+        same(spark, folder, "j29_pair_evidence", "events")
+
+
 def lineitems(n, suppliers, parts_, days=1, seed=0):
     r = np.random.default_rng(seed)
     day = np.array([DAY + datetime.timedelta(days=k) for k in range(days)])
